@@ -60,11 +60,16 @@ def _bucket(chars: Column, n: int, kind: str):
 def grams(text: Column, kind: str) -> Column:
     """Buckets of the text's character n-grams, both ends marked; the n-grams of host and path differ by `kind`."""
     chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    parts = []
-    for n in SIZES:
-        at = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(at, _bucket(chars, n, kind)))
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.concat(*parts))
+
+    def of(c: Column) -> Column:
+        parts = []
+        for n in SIZES:
+            at = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            parts.append(F.transform(at, _bucket(c, n, kind)))
+        return F.concat(*parts)
+
+    # Bound to a lambda's variable, or the text would be split anew for every n-gram.
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(F.get(F.transform(F.array(chars), of), F.lit(0)))
 
 
 def buckets(host_: Column, path_: Column) -> Column:
