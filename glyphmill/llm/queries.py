@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from glyphmill.llm import bpe, embed_dedup, jaccard_join, kd_shard, substring_dedup, toxicity, url_filter, warc
+from glyphmill.llm import bpe, decontam, embed_dedup, jaccard_join, kd_shard, lm, substring_dedup, toxicity, url_filter, warc
 from glyphmill.llm.common import crc_of_id, table
 
 
@@ -22,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
@@ -40,6 +43,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +62,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_toxicity, op4_jaccard_join, op5_bpe, op6_warc, op8_embedding_dedup, op9_substring_dedup, op10_kd_shards)
+    for f in (op1_url_filters, op2_toxicity, op3_lm, op4_jaccard_join, op5_bpe, op6_warc, op7_decontamination, op8_embedding_dedup, op9_substring_dedup, op10_kd_shards)
 }
 
 ORACLES: dict[str, str] = {}
