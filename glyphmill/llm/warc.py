@@ -5,7 +5,7 @@ digest and length of the payload up to its end, so no task ever holds more than
 row it reads. In the archive a chunk is a WARC record: a payload of several chunks becomes a response
 record with segment number 1 and continuation records that name it as their origin.
 
-Archives are written and read by Spark's text source, on any file system that Spark knows: the writer
+Archives are gzip files, written and read by Spark's text source, on any file system that Spark knows: the writer
 ends each row with the empty lines that end a WARC record, and the reader cuts at the version line
 that begins one. A chunk is also cut inside any version line that stands in a payload, so the cut is
 exact for these archives; `parse` reads any archive by its content lengths.
@@ -119,7 +119,7 @@ def write_archives(chunks: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length("body")),
     )
     rows = rows.withColumn("body", body).select(F.concat(F.encode(head, "UTF-8"), F.encode(crlf, "UTF-8"), "body").cast("string").alias("value"))
-    rows.write.mode("overwrite").option("lineSep", END.decode()).text(path)
+    rows.write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -211,7 +211,7 @@ def round_trip(pages: DataFrame, size: int = CHUNK) -> DataFrame:
     """Write pages as archives in the shared folder and read them back."""
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    chunks = scratch.put(chunk_table(pages, size), "chunks")
+    chunks = scratch.put(chunk_table(pages, size), "chunks", compression="zstd")
     write_archives(chunks, f"{scratch.root}/archives")
     scratch.drop("chunks")
     return read_archives(spark, f"{scratch.root}/archives", scratch)
