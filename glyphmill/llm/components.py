@@ -24,7 +24,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
     for k in range(1, MOST_PASSES + 1):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").unionByName(low.select("v", F.col("m").alias("u")))

@@ -7,6 +7,8 @@ most last, which is a matter of speed and not of the result.
 
 * Position skipping: an entry of an index list carries the set's size and its place in the set's
   order, so a whole block of pairs is passed over where sizes or remaining places can't reach the threshold.
+* Sketch skipping: the sum of the smaller counts, bucket by bucket, bounds what two sets share, so most
+  pairs that can't be similar are passed over before their sets are brought together.
 * Answer skipping: each list is first compared with one pivot only, the set in which its n-gram comes
   earliest. Sets that the pivot's answers put into one component need no comparison among
   themselves. What is left, pairs of different components that share a list, is then compared in full.
@@ -38,6 +40,8 @@ OFTEN_HERE, OFTEN = 3, 12
 MOST_OFTEN = 1 << 17
 RUN = 1 << 21
 SALTS = 16
+#: Buckets of a set's sketch, the counts of its elements by their leading bits.
+BUCKETS = 128
 
 
 def shingles(text: bytes, gram: int = GRAM) -> np.ndarray:
@@ -76,28 +80,30 @@ class Order:
         return np.concatenate([rare, rest[: length - len(rare)]]), len(rare)
 
 
-SURVEY = "kind int, a long, n long, fp long"
+SURVEY = "kind int, a long, n long, fp long, sketch array<short>"
 
 
 def survey(docs: DataFrame, gram: int) -> DataFrame:
     """Kind 0: doc_id, set size and fingerprint of each document. Kind 1: n-grams that recur in a run, with their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, total, seen = ["kind", "a", "n", "fp"], [], 0, set()
+        names, held, total, seen = ["kind", "a", "n", "fp", "sketch"], [], 0, set()
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= OFTEN_HERE
             values, counts = values[keep], counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.list_(pa.int16()))], names)
 
         for batch in batches:
-            sizes, prints = [], []
-            for t in utf8(batch.column(1)):
+            sizes, prints, sketches = [], [], np.zeros((len(batch), BUCKETS), np.int16)
+            for i, t in enumerate(utf8(batch.column(1))):
                 own = shingles(t, gram)
                 fp = fingerprint(own)
                 sizes.append(len(own))
                 prints.append(fp)
+                counts = np.bincount((own >> np.uint64(64 - 7)).astype(np.int64), minlength=BUCKETS)
+                sketches[i] = counts if counts.max() < 1 << 15 else (1 << 15) - 1
                 if len(own) and fp not in seen:  # copies within a run count once
                     seen.add(fp)
                     held.append(own)
@@ -105,7 +111,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
                 if total >= RUN:
                     yield frequent()
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BUCKETS), pa.array(sketches.ravel()))], names)
         if held:
             yield frequent()
 
@@ -156,7 +162,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o for _, o in kept])))], ["fp", "own"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
-    return rows.select("fp", "text").mapInArrow(run, "fp long, own array<long>").dropDuplicates(["fp"])
+    return rows.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
 
 
 def _reach(n: Column, pos: Column, m: Column, qos: Column, percent: int) -> Column:
@@ -165,6 +171,15 @@ def _reach(n: Column, pos: Column, m: Column, qos: Column, percent: int) -> Colu
     return fits & ((100 + percent) * (1 + F.least(n - pos, m - qos) - 1) >= percent * (n + m))
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches (fp, n, sketch) leave room for similar sets."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
+    most = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
+    # A set too large for its sketch has it filled up, and passes.
+    return pairs.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar. a is the side that many pairs may share."""
     rows = pairs.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
@@ -185,7 +200,9 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     by_hash = np.argsort(tokens)
     order = Order(tokens[by_hash], (len(often) - np.arange(len(often)))[by_hash])
 
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "reps")
+    # Rows that repeat an id and its text may double a sketch and so a pair, which does no harm.
+    sketches = seen.where("kind = 0 and n > 0").select(F.col("a").alias("doc_id"), "n", "fp", "sketch").join(classes, ["doc_id", "fp"])
     lists = index_lists(docs, order, gram, percent)
     lists = lists.selectExpr("token", "fp", "cast(place >> 56 as int) as salt", "(place >> 28) & 268435455 as n", "place & 268435455 as pos")
     lists = lists.selectExpr(
@@ -198,9 +215,10 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
 
     first = lists.where("fp <> pivot").where(_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), percent))
     first = scratch.put(first.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "first")
-    wanted = first.select(F.col("a").alias("fp")).union(first.select("b")).distinct()
+    hopeful = scratch.put(promising(first, sketches, percent), "hopeful")
+    wanted = hopeful.select(F.col("a").alias("fp")).union(hopeful.select("b")).distinct()
     own = scratch.put(sets_of(docs, classes.join(wanted, "fp").select("doc_id", "fp"), gram), "sets")
-    links = scratch.put(verified(first, own, percent), "links")
+    links = scratch.put(verified(hopeful, own, percent), "links")
     part = scratch.put(connected_components(links, scratch, "part"), "components")
 
     spread = lists.select("token", "fp", "n", "pos").join(part.select(F.col("id").alias("fp"), "component_id"), "fp", "left")
@@ -215,13 +233,13 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
                   & _reach(c("l.n"), c("l.pos"), c("r.n"), c("r.pos"), percent))
     rest = rest.select(c("l.fp").alias("a"), c("r.fp").alias("b")).distinct()
     done = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.put(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.put(promising(rest.join(done, ["a", "b"], "left_anti"), sketches, percent), "rest")
     wanted = rest.select(F.col("a").alias("fp")).union(rest.select("b")).distinct().join(own.select("fp"), "fp", "left_anti")
     more = scratch.put(own.unionByName(sets_of(docs, classes.join(wanted, "fp").select("doc_id", "fp"), gram)), "more")
     scratch.drop("lists", "spread", "sets")
     found = links.unionByName(verified(rest, more, percent))
     whole = scratch.put(connected_components(found, scratch, "whole"), "whole")
-    scratch.drop("more", "first", "rest", "links", "components")
+    scratch.drop("more", "first", "hopeful", "rest", "links", "components")
 
     lowest = classes.join(whole.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component_id", "fp"))
     lowest = scratch.put(lowest.select("fp", "doc_id", "component"), "classes")
