@@ -108,9 +108,9 @@ class _Reader:
 
     def closes(self, key: bool) -> bool:
         """Whether the quote before the reader's place ends a string, by what follows."""
-        j = self.i
-        while j < len(self.t) and self.t[j].isspace():
-            j += 1
+        start = self.i
+        self.skip()
+        j, self.i = self.i, start
         c = self.t[j : j + 1]
         if key:
             return c == ":" or c in QUOTES
