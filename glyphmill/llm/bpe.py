@@ -27,7 +27,7 @@ from glyphmill.llm.common import slices, utf8
 
 #: The pre-token pattern of byte-level BPE, white space written as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MOST_CACHED = 300_000
+MOST_CACHED = 900_000
 SLICE = 2 << 20
 
 
@@ -53,7 +53,10 @@ class Bpe:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for t, k in self.special.items():
             self.bytes_of[k] = t.encode()
-        self.longest = max(map(len, self.id_of))
+        # The longest entry that begins with three given bytes.
+        self.longest: dict[bytes, int] = {}
+        for b in self.id_of:
+            self.longest[b[:3]] = max(len(b), self.longest.get(b[:3], 0))
         # Ranks are the order of the merges; a byte has none and is its own two halves.
         self.rank_of: dict[tuple[int, int], tuple[int, int]] = {}
         self.made_at = np.full(size, -1, np.int64)
@@ -72,7 +75,8 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.unit_cache: dict[str, tuple[int, ...]] = {}
+        self.short_ranks = {x << 32 | y: r for (x, y), (r, _) in self.rank_of.items()}
+        self.made_by = {r: z for r, z in self.rank_of.values()}
 
     # -- speculation and verification
 
@@ -80,7 +84,7 @@ class Bpe:
         """The longest vocabulary entry at each place, from the left."""
         out, i, n, ids = [], 0, len(word), self.id_of
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + self.longest.get(word[i : i + 3], 2)), i, -1):
                 k = ids.get(word[i:j])
                 if k is not None:
                     out.append(k)
@@ -120,6 +124,23 @@ class Bpe:
 
     def merged(self, word: bytes) -> list[int]:
         """The exact result: the lowest-ranked merge first, of equal ones the leftmost."""
+        return self._merged_short(word) if len(word) <= 64 else self._merged_long(word)
+
+    def _merged_short(self, word: bytes) -> list[int]:
+        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        rank, none = self.short_ranks.get, 1 << 40
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i : i + 2] = [self.made_by[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 32 | ids[i + 1], none)
+        return ids
+
+    def _merged_long(self, word: bytes) -> list[int]:
         ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
         before = list(range(-1, len(ids) - 1))
         after = [*range(1, len(ids)), -1]
@@ -140,9 +161,11 @@ class Bpe:
                     heapq.heappush(heap, (p[0], a))
         return [k for k in ids if k >= 0]
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, needed: set[str]) -> None:
         """Put the ids of pre-tokens into the cache: propose, test all pairs, merge those that fail."""
-        words = [w for w in words if w not in self.cache]
+        if len(self.cache) > MOST_CACHED:
+            self.cache = {w: self.cache[w] for w in needed if w in self.cache}
+        words = [w for w in needed if w not in self.cache]
         if not words:
             return
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -154,48 +177,24 @@ class Bpe:
         fails = ~self.apart(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         for k in set(owner[1:][inner][fails].tolist()):
             guess[k] = self.merged(raw[k])
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
         self.cache.update((w, tuple(g)) for w, g in zip(words, guess))
 
     # -- texts
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text whose pre-tokens don't depend on their neighbours: a single space between other
-        characters that aren't white space always begins a pre-token."""
-        parts = text.split(" ")
-        if all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        units, open_ = [], parts[0]
-        for p in parts[1:]:
-            if p and open_ and not p[0].isspace() and not open_[-1].isspace():
-                units.append(open_)
-                open_ = " " + p
-            else:
-                open_ += " " + p
-        units.append(open_)
-        return units
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        segments = [self.split_special.split(t) if self.split_special else [t] for t in texts]
-        units = [[self.units(s) if s and s not in self.special else s for s in seg] for seg in segments]
-        known = self.unit_cache
-        if len(known) > MOST_CACHED:
-            known.clear()
-        new = {u for seg in units for s in seg if isinstance(s, list) for u in s if u not in known}
-        cut = {u: self.pattern.findall(u) for u in new}
-        needed = set(chain.from_iterable(cut.values()))
-        self.learn(needed)
-        for u, words in cut.items():
-            known[u] = tuple(chain.from_iterable(self.cache[w] for w in words)) if len(words) != 1 else self.cache[words[0]]
+    def encode_batch(self, texts: list[str], special: bool = True) -> list[list[int]]:
+        """The texts' ids. special: strings of special tokens become those, else they are ordinary text."""
+        split = self.split_special if special else None
+        parts = [[self.pattern.findall(t)] if split is None or not split.search(t) else [s if s in self.special else self.pattern.findall(s) for s in split.split(t)] for t in texts]
+        self.learn(set(chain.from_iterable(p for own in parts for p in own if isinstance(p, list))))
+        known = self.cache
         out = []
-        for seg in units:
+        for own in parts:
             ids: list[int] = []
-            for s in seg:
-                if isinstance(s, list):
-                    ids.extend(chain.from_iterable(map(known.__getitem__, s)))
-                elif s:
-                    ids.append(self.special[s])
+            for p in own:
+                if isinstance(p, list):
+                    ids.extend(chain.from_iterable(map(known.__getitem__, p)))
+                else:
+                    ids.append(self.special[p])
             out.append(ids)
         return out
 
