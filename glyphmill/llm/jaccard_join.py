@@ -171,13 +171,17 @@ def _reach(n: Column, pos: Column, m: Column, qos: Column, percent: int) -> Colu
     return fits & ((100 + percent) * (1 + F.least(n - pos, m - qos) - 1) >= percent * (n + m))
 
 
+def _room(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
+    """Whether the sketches leave room for a similar pair. A set too large for its sketch has it filled up, and passes."""
+    most = F.aggregate(F.zip_with(sketch, other, lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches (fp, n, sketch) leave room for similar sets."""
     for x in ("a", "b"):
         pairs = pairs.join(sketches.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
-    most = F.aggregate(F.zip_with("s_a", "s_b", lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
-    # A set too large for its sketch has it filled up, and passes.
-    return pairs.where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return pairs.where(_room(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,16 +228,18 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     spread = lists.select("token", "fp", "n", "pos").join(part.select(F.col("id").alias("fp"), "component_id"), "fp", "left")
     spread = spread.withColumn("component", F.coalesce("component_id", "fp")).drop("component_id")
     open_ = spread.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    spread = scratch.put(spread.join(open_, "token", "left_semi").withColumn("bucket", F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")), "spread")
-    left = spread.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1, F.col("bucket") + 2)))
+    # The sketches go along, so the join below makes no row for a pair that they rule out.
+    spread = spread.join(open_, "token", "left_semi").join(sketches.select("fp", "sketch"), "fp")
+    spread = scratch.put(spread.withColumn("bucket", F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")), "spread")
+    left = spread.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
     l, r = left.alias("l"), spread.alias("r")
     c = F.col
     rest = l.join(r, (c("l.token") == c("r.token")) & (c("l.bucket") == c("r.bucket")) & (c("l.component") != c("r.component"))
                   & ((c("l.n") < c("r.n")) | ((c("l.n") == c("r.n")) & (c("l.fp") < c("r.fp"))))
-                  & _reach(c("l.n"), c("l.pos"), c("r.n"), c("r.pos"), percent))
+                  & _reach(c("l.n"), c("l.pos"), c("r.n"), c("r.pos"), percent) & _room(c("l.n"), c("l.sketch"), c("r.n"), c("r.sketch"), percent))
     rest = rest.select(c("l.fp").alias("a"), c("r.fp").alias("b")).distinct()
     done = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.put(promising(rest.join(done, ["a", "b"], "left_anti"), sketches, percent), "rest")
+    rest = scratch.put(rest.join(done, ["a", "b"], "left_anti"), "rest")
     wanted = rest.select(F.col("a").alias("fp")).union(rest.select("b")).distinct().join(own.select("fp"), "fp", "left_anti")
     more = scratch.put(own.unionByName(sets_of(docs, classes.join(wanted, "fp").select("doc_id", "fp"), gram)), "more")
     scratch.drop("lists", "spread", "sets")
