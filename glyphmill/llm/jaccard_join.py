@@ -119,7 +119,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
 
 
 def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataFrame:
-    """(token, fp, place): the prefix of every set. place packs a salt for frequent n-grams, the set's size and the position."""
+    """(token, fp, place): the prefix of every set. place packs a salt from 1 for frequent n-grams (0 for others), the set's size and the position."""
     order = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataF
                     seen.add(fp)
                     own, rare = order.value.prefix(own, prefix_length(n, percent))
                     place = n << 28 | np.arange(len(own), dtype=np.int64)
-                    place[rare:] |= (fp % SALTS) << 56
+                    place[rare:] |= (fp % SALTS + 1) << 56
                     tokens.append(own)
                     prints.append(np.full(len(own), fp, np.int64))
                     places.append(place)

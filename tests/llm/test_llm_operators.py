@@ -248,6 +248,25 @@ def test_jaccard_groups(spark):
     assert got == dict(enumerate(components(150, links)))
 
 
+def test_jaccard_salts(spark):
+    """Groups of near copies under frequent n-grams, one of them alone under its salt, whichever that is."""
+    r, v = random.Random(3), vocabulary()
+    salt = lambda t: jaccard_join.fingerprint(jaccard_join.shingles(t.encode())) % jaccard_join.SALTS
+    rows, expected = [], {}
+    for size in (14, 20, 40):
+        for alone in (0, 5):
+            base, own = [r.choice(v) for _ in range(120)], []
+            while len(own) < size:
+                c = list(base)
+                c[r.randrange(len(c))] = f"w{r.randrange(10**6)}"
+                if (salt(" ".join(c)) == alone) == (not own):  # only the first has this salt
+                    own.append(" ".join(c))
+            expected |= {len(rows) + i: len(rows) for i in range(size)}
+            rows += [(len(rows) + i, t) for i, t in enumerate(own)]
+    got = {x.doc_id: x.component_id for x in jaccard_join.similar_components(table(spark, rows).coalesce(1)).collect()}
+    assert got == expected
+
+
 # -- 5
 
 
