@@ -42,6 +42,8 @@ RUN = 1 << 21
 SALTS = 16
 #: Buckets of a set's sketch, the counts of its elements by their leading bits.
 BUCKETS = 128
+#: What all buckets hold if one of them counts as many or more.
+FULL = (1 << 15) - 1
 
 
 def shingles(text: bytes, gram: int = GRAM) -> np.ndarray:
@@ -103,7 +105,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
                 sizes.append(len(own))
                 prints.append(fp)
                 counts = np.bincount((own >> np.uint64(64 - 7)).astype(np.int64), minlength=BUCKETS)
-                sketches[i] = counts if counts.max() < 1 << 15 else (1 << 15) - 1
+                sketches[i] = counts if counts.max() < FULL else FULL
                 if len(own) and fp not in seen:  # copies within a run count once
                     seen.add(fp)
                     held.append(own)
@@ -174,7 +176,8 @@ def _reach(n: Column, pos: Column, m: Column, qos: Column, percent: int) -> Colu
 def _room(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
     """Whether the sketches leave room for a similar pair. A set too large for its sketch has it filled up, and passes."""
     most = F.aggregate(F.zip_with(sketch, other, lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
-    return (100 + percent) * most >= percent * (n + m)
+    full = (F.get(sketch, F.lit(0)) == FULL) | (F.get(other, F.lit(0)) == FULL)
+    return full | ((100 + percent) * most >= percent * (n + m))
 
 
 def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:

@@ -267,6 +267,14 @@ def test_jaccard_salts(spark):
     assert got == expected
 
 
+def test_jaccard_full_sketches(spark):
+    """Sets too large for their sketches are never ruled out by them, however large."""
+    full, low = [jaccard_join.FULL] * jaccard_join.BUCKETS, [1] * jaccard_join.BUCKETS
+    sketches = spark.createDataFrame([(1, 5_000_000, full), (2, 5_000_000, full), (3, 4_100_000, [32_000] * 128), (4, 128, low), (5, 200, low)], "fp long, n long, sketch array<short>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 1), (4, 5)], "a long, b long")
+    assert sorted(map(tuple, jaccard_join.promising(pairs, sketches, 80).collect())) == [(1, 2), (1, 3), (3, 1)]
+
+
 # -- 5
 
 
