@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def similar_pairs(items: DataFrame, key: str, tokens: Column, least: int = 2, most_common: int = 1000) -> DataFrame:
-    """(a, b, shared): pairs a < b that share at least `least` tokens.
+#: Lists and classes longer than this are dealt out in parts for a join.
+PART = 1000
 
-    Tokens in more than `most_common` items don't make pairs by themselves; pairs they support are
-    completed from the rarer ones, so a pair must share one token that is not that common.
+
+def similar_pairs(items: DataFrame, key: str, tokens: Column, least: int = 2) -> DataFrame:
+    """(a, b, shared): pairs a < b that share at least `least` tokens, however common these are.
+
+    Items with equal token sets are one class, named by its smallest key. Two sets that share
+    `least` tokens share one of all but the last `least` - 1 of each, the most common tokens being last.
     """
-    rows = items.select(F.col(key).alias("k"), F.explode(F.array_distinct(tokens)).alias("t"))
-    counted = rows.join(rows.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") > 1), "t")
-    rare = counted.where(F.col("n") <= most_common)
-    pairs = rare.select(F.col("k").alias("a"), "t").join(rare.select(F.col("k").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
-    own = counted.groupBy("k").agg(F.collect_set("t").alias("ts"))
-    both = pairs.join(own.select(F.col("k").alias("a"), F.col("ts").alias("ta")), "a").join(own.select(F.col("k").alias("b"), F.col("ts").alias("tb")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared")).where(F.col("shared") >= least)
+    rows = items.select(F.col(key).alias("k"), F.explode(tokens).alias("t")).where("k is not null and t is not null")
+    sets = rows.groupBy("k").agg(F.array_sort(F.collect_set("t")).alias("ts")).where(F.size("ts") >= least)
+    classes = sets.groupBy("ts").agg(F.min("k").alias("c"), F.count("*").alias("m"))
+    members = sets.join(classes, "ts").select("c", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("m") / PART)).alias("part"))
+
+    lists = classes.select("c", F.size("ts").alias("size"), F.explode("ts").alias("t"))
+    lists = lists.join(lists.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "t")
+    # Tokens of one class only can't be shared with another. They come first in the order, so the prefix is what remains of it.
+    lists = lists.withColumn("left", F.count("*").over(Window.partitionBy("c")))
+    lists = lists.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("n", "t"))).where(F.col("place") <= F.col("left") - (least - 1))
+    lists = lists.withColumn("parts", F.ceil(F.col("n") / PART))
+    l = lists.select(F.col("c").alias("a"), "t", F.pmod(F.xxhash64("c"), "parts").alias("part"))
+    r = lists.select(F.col("c").alias("b"), "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pairs = l.join(r, ["t", "part"]).where("a < b").select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("c").alias("a"), F.col("ts").alias("ta"), F.col("m").alias("ma")), "a")
+    both = both.join(classes.select(F.col("c").alias("b"), F.col("ts").alias("tb"), F.col("m").alias("mb")), "b")
+    both = both.select("a", "b", "ma", "mb", F.size(F.array_intersect("ta", "tb")).alias("shared")).where(F.col("shared") >= least)
+    alike = classes.where("m > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb"), F.size("ts").alias("shared"))
+    for x in ("a", "b"):
+        parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"m{x}") / PART) - 1)
+        alike, both = (d.withColumn(f"p{x}", F.explode(parts)) for d in (alike, both))
+    out = both.unionByName(alike)
+    for x in ("a", "b"):
+        out = out.join(members.select(F.col("c").alias(x), F.col("part").alias(f"p{x}"), F.col("k").alias(f"k{x}")), [x, f"p{x}"])
+    return out.where("a <> b or ka < kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared")
 
 
 def components(links: DataFrame, root: str | None = None, most: int = 40) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,24 @@ def test_order(spark):
     assert rows(order.dense_ordinals(df, ["s"], "k", "o"), "s", "k", "o") == [("s", 1, 0), ("s", 5, 1), ("s", 70000, 2), ("s", 200000, 3), ("t", 9, 0)]
 
 
+def test_similar_pairs(spark, monkeypatch):
+    """Against brute force, with tokens in more than 1000 items, equal sets, repeated keys and nulls."""
+    r = random.Random(4)
+    own = [(k, [r.choice("abcdefgh") for _ in range(r.randint(0, 5))]) for k in range(300)] + [(7, ["a", "b", None]), (301, None), (None, ["a", "b"])]
+    sets = {}
+    for k, ts in own:
+        if k is not None:
+            sets.setdefault(k, set()).update(t for t in ts or [] if t)
+    d = spark.createDataFrame(own, "k long, ts array<string>")
+    for part in (relations.PART, 20):
+        monkeypatch.setattr(relations, "PART", part)
+        for least in (1, 2, 3):
+            expected = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least)
+            assert rows(relations.similar_pairs(d, "k", F.col("ts"), least), "a", "b", "shared") == expected
+    many = spark.range(1100).select(F.col("id").alias("k"), F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("u"), F.col("id").cast("string"))).alias("ts"))
+    assert relations.similar_pairs(many, "k", F.col("ts")).count() == 1100 * 1099 // 2
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (9, 8), (8, 7), (7, 6)], "a long, b long")
     assert {r.id: r.component for r in relations.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6}
