@@ -638,6 +638,13 @@ def linked_components(t: Tables) -> DataFrame:
     return relations.components(e)
 
 
+@query()
+def linked_components_all(t: Tables) -> DataFrame:
+    """linked_components without its filter, over the links of all orders; a test compares it with union-find."""
+    e = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 500 + 1000000).alias("b"))
+    return relations.components(e)
+
+
 # -- logs
 
 
