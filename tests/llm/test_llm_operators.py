@@ -389,6 +389,21 @@ def test_common_subsequence(a, b):
 # -- 8
 
 
+def test_embeddings_hot_cluster(spark):
+    """All links of separate pairs are found where many vectors lie close together, below the threshold."""
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    v = unit(np.sqrt(0.9) * unit(r.standard_normal(64)) + np.sqrt(0.1) * unit(r.standard_normal((4000, 64))))
+    g = r.standard_normal((300, 64))
+    g = unit(g - (g * v[:300]).sum(axis=1, keepdims=True) * v[:300])
+    v = np.concatenate([v, 0.955 * v[:300] + np.sqrt(1 - 0.955**2) * g])
+    a, b = np.nonzero(np.triu(v @ v.T >= embed_dedup.THRESHOLD, 1))
+    group = components(len(v), list(zip(a.tolist(), b.tolist())))
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(d).collect()
+    assert len(a) >= 300 and {x.vec_id: x.component_id for x in got} == dict(enumerate(group))
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 24)).astype(np.float32)
