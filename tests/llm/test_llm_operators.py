@@ -375,6 +375,21 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty(spark), bench).count() == 0
 
 
+def test_decontamination_many_items(spark):
+    """Over 1000 items of more topics than ranks, and some that have no words in common with others."""
+    r = random.Random(12)
+    pools = [[f"t{k}x{i}" for i in range(12)] for k in range(120)]
+    items = [[r.choice(pools[i % 120]) for _ in range(40)] for i in range(1080)] + [[f"odd{i}x{j}" for j in range(40)] for i in range(20)]
+    rows = [(i, " ".join(r.choice(r.choice(pools)) for _ in range(60))) for i in range(100)]
+    for i, item in enumerate(items[-20:]):
+        rows.append((100 + i, " ".join([r.choice(pools[i]) for _ in range(50)] + item + [r.choice(pools[i + 20]) for _ in range(50)])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = table(spark, rows)
+    got = [(x.doc_id, x.item_id) for x in decontam.contaminated(docs, bench).collect()]
+    assert len(got) == len(set(got)) and {(100 + i, 1080 + i) for i in range(20)} <= set(got)
+    assert not {x.doc_id for x in decontam.drop_contaminated(docs, bench).collect()} & set(range(100, 120))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c", b"d"]), max_size=15))
 def test_common_subsequence(a, b):
