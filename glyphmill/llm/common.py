@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,20 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse, which is shared too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Shuffle files go when the query that made them has ended, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -49,9 +40,12 @@ class Scratch:
         self.spark, self.root = spark, f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**options).parquet(path)
-        release(self.spark)
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -59,7 +53,14 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+
+
+def fresh_name(df: DataFrame) -> str:
+    """A name that no column of df begins with, whatever their case."""
+    name = "own"
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
 
 
 def crc_of_id(column: str = "doc_id"):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Scratch
 
-MOST_PASSES = 60
-
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(id, component_id) for every id in links (a, b): the smallest id that links reach.
@@ -21,7 +21,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
     edges = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     edges = scratch.put(edges, f"{name}-0")
     before = None
-    for k in range(1, MOST_PASSES + 1):
+    for k in count(1):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
@@ -35,6 +35,4 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str = "compon
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("connected components did not converge")
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("component_id")).distinct())

@@ -5,17 +5,20 @@ a 64-bit fingerprint of the set. Two sets can only be similar if they share one
 n - ceil(0.8 n) + 1 elements in some common order; the order puts the n-grams that the documents share
 most last, which is a matter of speed and not of the result.
 
-* Position skipping: an entry of an index list carries the set's size and its place in the set's
-  order, so a whole block of pairs is passed over where sizes or remaining places can't reach the threshold.
-* Sketch skipping: the sum of the smaller counts, bucket by bucket, bounds what two sets share, so most
-  pairs that can't be similar are passed over before their sets are brought together.
-* Answer skipping: each list is first compared with one pivot only, the set in which its n-gram comes
-  earliest. Sets that the pivot's answers put into one component need no comparison among
-  themselves. What is left, pairs of different components that share a list, is then compared in full.
+* Position skipping: the entries of an index list come sorted by size and place. What two sets share
+  is bounded by what follows their places, so blocks of entries whose sizes and places leave no room
+  for a partner are passed over, and most lists end there.
+* What is left of a list is grouped under its smallest fingerprint, so sets that meet in many lists
+  meet in few groups. A group is compared block against block, never pair by pair in rows.
+* Answer skipping: within a block one pivot is compared with all. Its answers are one component and need
+  no comparison among themselves; for the others, what both share with the pivot and what both have besides bounds
+  what they share with one another, and only sets for which that bound leaves room are compared.
 
 Null texts count as empty; an empty set links with nothing. Repeated rows belong to one class. A row
 without doc_id can be in a class but isn't read as its representative, and its component_id is the
-smallest id of the class, or null.
+smallest id of the class, or null. A very long text is one set like any other; blocks are bounded by their
+elements. Ties in size and place don't matter, as every partner within the bounds is kept. Other columns
+than doc_id and text are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, gram_hashes, signed, slices, utf8, word_hashes
+from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, signed, slices, utf8, word_hashes
 from glyphmill.llm.components import connected_components
 
 GRAM = 5
@@ -39,11 +42,12 @@ OFTEN_HERE, OFTEN = 3, 12
 #: At most so many are put last, the most frequent ones. It bounds what tasks are sent; the result doesn't depend on it.
 MOST_OFTEN = 1 << 17
 RUN = 1 << 21
-SALTS = 16
-#: Buckets of a set's sketch, the counts of its elements by their leading bits.
-BUCKETS = 128
-#: What all buckets hold if one of them counts as many or more.
-FULL = (1 << 15) - 1
+#: A list of more entries is dealt out as pairs of parts of about so many.
+LIST = 50_000
+#: Entries of a block of a list.
+BLOCK = 256
+#: Sets and elements of a block of a group.
+MEMBERS, ELEMENTS = 1024, 2_000_000
 
 
 def shingles(text: bytes, gram: int = GRAM) -> np.ndarray:
@@ -64,10 +68,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 @dataclass(frozen=True)
 class Order:
-    """Frequent n-grams, sorted by hash, with the rank that puts the most frequent last."""
+    """Frequent n-grams, sorted by hash, with their counts; the most frequent come last."""
 
     often: np.ndarray
-    rank: np.ndarray
+    counts: np.ndarray
+    longest: int  # entries of a list that stays whole
 
     def prefix(self, own: np.ndarray, length: int) -> tuple[np.ndarray, int]:
         """The first `length` elements in the common order, and how many of them are rare."""
@@ -78,34 +83,36 @@ class Order:
         rare = own[~frequent][:length]
         if len(rare) == length:
             return rare, length
-        rest = own[frequent][np.argsort(self.rank[at[frequent]], kind="stable")]
+        rest = own[frequent][np.argsort(self.counts[at[frequent]], kind="stable")]
         return np.concatenate([rare, rest[: length - len(rare)]]), len(rare)
 
+    def parts(self, tokens: np.ndarray) -> np.ndarray:
+        """Into how many parts the lists of these frequent n-grams are dealt."""
+        return -(-self.counts[np.searchsorted(self.often, tokens)] // self.longest)
 
-SURVEY = "kind int, a long, n long, fp long, sketch array<short>"
+
+SURVEY = "kind int, a long, n long, fp long"
 
 
 def survey(docs: DataFrame, gram: int) -> DataFrame:
     """Kind 0: doc_id, set size and fingerprint of each document. Kind 1: n-grams that recur in a run, with their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, total, seen = ["kind", "a", "n", "fp", "sketch"], [], 0, set()
+        names, held, total, seen = ["kind", "a", "n", "fp"], [], 0, set()
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= OFTEN_HERE
             values, counts = values[keep], counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.list_(pa.int16()))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64())], names)
 
         for batch in batches:
-            sizes, prints, sketches = [], [], np.zeros((len(batch), BUCKETS), np.int16)
-            for i, t in enumerate(utf8(batch.column(1))):
+            sizes, prints = [], []
+            for t in utf8(batch.column(1)):
                 own = shingles(t, gram)
                 fp = fingerprint(own)
                 sizes.append(len(own))
                 prints.append(fp)
-                counts = np.bincount((own >> np.uint64(64 - 7)).astype(np.int64), minlength=BUCKETS)
-                sketches[i] = counts if counts.max() < FULL else FULL
                 if len(own) and fp not in seen:  # copies within a run count once
                     seen.add(fp)
                     held.append(own)
@@ -113,15 +120,22 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
                 if total >= RUN:
                     yield frequent()
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * BUCKETS), pa.array(sketches.ravel()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names)
         if held:
             yield frequent()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SURVEY)
 
 
+def dealt(token: int, fp: int, parts: int) -> list[int]:
+    """The names of the lists that a set joins for an n-gram whose list is dealt into pairs of parts."""
+    own = fp % parts
+    pairs = np.array([(min(own, k) << 32) + max(own, k) for k in range(parts)], np.uint64)
+    return signed(mix(pairs + np.uint64(token))).tolist()
+
+
 def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataFrame:
-    """(token, fp, place): the prefix of every set. place packs a salt from 1 for frequent n-grams (0 for others), the set's size and the position."""
+    """(token, fp, place): the prefix of every set. place packs the set's size and the position."""
     order = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +155,15 @@ def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataF
                     seen.add(fp)
                     own, rare = order.value.prefix(own, prefix_length(n, percent))
                     place = n << 28 | np.arange(len(own), dtype=np.int64)
-                    place[rare:] |= (fp % SALTS + 1) << 56
+                    many = order.value.parts(own[rare:]) if rare < len(own) else np.empty(0)
+                    for k in (np.flatnonzero(many > 1) + rare).tolist():
+                        names = dealt(int(own[k]), fp, int(many[k - rare]))
+                        tokens.append(np.array(names, np.int64).view(np.uint64))
+                        places.append(np.full(len(names), place[k]))
+                        prints.append(np.full(len(names), fp, np.int64))
+                    if (many > 1).any():
+                        single = np.concatenate([np.ones(rare, bool), many <= 1])
+                        own, place = own[single], place[single]
                     tokens.append(own)
                     prints.append(np.full(len(own), fp, np.int64))
                     places.append(place)
@@ -151,6 +173,72 @@ def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataF
     return docs.select("text").mapInArrow(run, "token long, fp long, place long")
 
 
+def partners(n: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """For lists of one length, a row each: which entries have a partner that sizes and places leave room for."""
+    least = lambda x: np.minimum(x[:, :, None], x[:, None, :])
+    both = n[:, :, None] + n[:, None, :]
+    room = ((100 + percent) * least(n - p) >= percent * both) & ((100 + percent) * least(n) >= percent * both)
+    room[:, np.arange(n.shape[1]), np.arange(n.shape[1])] = False
+    return room.any(axis=2)
+
+
+def partners_by_block(n: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """The same for one long list in order of size. Pairs of blocks are passed over whole where the bounds of both leave no room."""
+    left, keep = n - p, np.zeros(len(n), bool)
+    start = np.arange(0, len(n), BLOCK)
+    end = np.append(start[1:], len(n))
+    most, low, high = np.maximum.reduceat(left, start), n[start], n[end - 1]
+    for i, a in enumerate(start.tolist()):
+        for j in range(i, len(start)):
+            if 100 * high[i] < percent * low[j]:
+                break
+            own, other = slice(a, end[i]), slice(start[j], end[j])
+            if (100 + percent) * min(most[i], most[j]) < percent * (low[i] + low[j]) or (keep[own].all() and keep[other].all()):
+                continue
+            both = n[own, None] + n[other]
+            room = ((100 + percent) * np.minimum(left[own, None], left[other]) >= percent * both) & ((100 + percent) * np.minimum(n[own, None], n[other]) >= percent * both)
+            if i == j:
+                np.fill_diagonal(room, False)
+            keep[own] |= room.any(axis=1)
+            keep[other] |= room.any(axis=0)
+    return keep
+
+
+def groups_of_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """(pivot, fp): the entries with possible partners, under the smallest fingerprint of their list. lists: by token, in order of place."""
+
+    def sieved(token: np.ndarray, fp: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(start, len(token)))
+        n, p = place >> 28, place & ((1 << 28) - 1)
+        pivots, prints = [], []
+        for m in np.unique(length[length > 1]).tolist():
+            lists_ = start[length == m]
+            for a in range(0, len(lists_), step := max(1, (1 << 20) // (m * m))):
+                at = lists_[a : a + step, None] + np.arange(m)
+                keep = partners(n[at], p[at], percent) if m <= BLOCK else partners_by_block(n[at[0]], p[at[0]], percent)[None]
+                own = np.where(keep, fp[at], np.iinfo(np.int64).max)
+                pivots.append(np.broadcast_to(own.min(axis=1)[:, None], own.shape)[keep])
+                prints.append(own[keep])
+        if pivots and len(pivots := np.concatenate(pivots)):
+            rows = np.unique(np.rec.fromarrays([pivots, np.concatenate(prints)], names="a,b"))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.a), pa.array(rows.b)], ["pivot", "fp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+            held = own if held is None else np.concatenate([held, own], axis=1)
+            ended = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
+            if ended:
+                yield from sieved(*held[:, :ended])
+                held = held[:, ended:]
+        if held is not None and held.shape[1]:
+            yield from sieved(*held)
+
+    return lists.mapInArrow(run, "pivot long, fp long")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
     """(fp, own) for the wanted classes (doc_id, fp): the sets, read again from the texts of their representatives."""
 
@@ -167,33 +255,90 @@ def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
     return rows.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
 
 
-def _reach(n: Column, pos: Column, m: Column, qos: Column, percent: int) -> Column:
-    """Whether sizes and places leave room for a similar pair, the shared element being the first."""
-    fits = (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    return fits & ((100 + percent) * (1 + F.least(n - pos, m - qos) - 1) >= percent * (n + m))
-
-
-def _room(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
-    """Whether the sketches leave room for a similar pair. A set too large for its sketch has it filled up, and passes."""
-    most = F.aggregate(F.zip_with(sketch, other, lambda p, q: F.least(p, q)), F.lit(0), lambda acc, v: acc + v.cast("int"))
-    full = (F.get(sketch, F.lit(0)) == FULL) | (F.get(other, F.lit(0)) == FULL)
-    return full | ((100 + percent) * most >= percent * (n + m))
+def overlaps(owner: np.ndarray, column: np.ndarray, rows: np.ndarray, members: int) -> np.ndarray:
+    """What each of `rows` shares with every member; (owner, column) are the elements' places, by column."""
+    out = np.zeros((len(rows), members), np.float32)
+    step = max(64, (1 << 22) // members)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [first, first + step])
+        x = np.zeros((members, step), np.float32)
+        x[owner[a:b], column[a:b] - first] = 1
+        out += x[rows] @ x.T
+    return out
+
+
+def united(sets: list[np.ndarray], pivot: int, percent: int) -> np.ndarray:
+    """For each set the number of the first one in its component, links being those of similar sets."""
+    m, n = len(sets), np.array([len(s) for s in sets])
+    label = np.arange(m)
+    similar = lambda shared, x, y: (100 + percent) * shared >= percent * (x + y)
+    if m == 2:
+        if similar(len(np.intersect1d(*sets, assume_unique=True)), n[0], n[1]):
+            label[1] = 0
+        return label
+    owner = np.repeat(label, n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = (count > 1)[column]
+    column, owner = (np.cumsum(count > 1) - 1)[column[shared]], owner[shared]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    with_pivot = np.bincount(owner[np.isin(column, column[owner == pivot])], minlength=m)
+    core = similar(with_pivot, n, n[pivot])
+    core[pivot] = True
+    label[core] = np.flatnonzero(core)[0]
+    rest = np.flatnonzero(~core)
+    if len(rest):
+        own, free = with_pivot[rest], (n - with_pivot)[rest]
+        most = np.minimum(own[:, None], with_pivot) + np.minimum(free[:, None], n - with_pivot)
+        room = similar(most, n[rest][:, None], n)
+        room[np.arange(len(rest)), rest] = False
+        rest = rest[room.any(axis=1)]
+    if len(rest):
+        linked = similar(overlaps(owner, column, rest, m), n[rest][:, None], n)
+        while True:
+            before = label.copy()
+            label[rest] = np.minimum(label[rest], np.where(linked, label, m).min(axis=1))
+            label = np.minimum(label, np.where(linked, label[rest][:, None], m).min(axis=0))
+            label[core] = label[core].min()
+            if (label == before).all():
+                break
+    return label
+
+
+def links_of_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that unite the similar sets of each group. members: (pivot, fp, n). Groups larger than a block are dealt out as pairs of blocks."""
+    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("g"))
+    rows = members.select("pivot", "fp").join(sizes, "pivot").withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("pivot", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "fp").join(sets, "fp")
+    rows = rows.select("pivot", "lo", "hi", "fp", "own").repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "fp")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, prints, sets_ = None, [], []
 
-def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches (fp, n, sketch) leave room for similar sets."""
-    for x in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")), x)
-    return pairs.where(_room(F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"), percent)).select("a", "b")
+        def compared():
+            if len(prints) < 2:
+                return
+            label = united(sets_, prints.index(now[0]) if now[0] in prints else 0, percent)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            if len(at):
+                fp = np.array(prints)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["a", "b"])
 
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            flat, ends = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
+            ends = ends - ends[0] if len(ends) else ends
+            for i, (*key, fp) in enumerate(keys):
+                if key != now:
+                    yield from compared()
+                    now, prints, sets_ = key, [], []
+                if not prints or prints[-1] != fp:  # rows that repeat an id and its text
+                    prints.append(fp)
+                    sets_.append(np.array(flat[ends[i] : ends[i + 1]]))
+        yield from compared()
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar. a is the side that many pairs may share."""
-    rows = pairs.join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
-    rows = rows.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), "a")
-    both = F.size(F.array_intersect("own_a", "own_b"))
-    rows = rows.select("a", "b", both.alias("both"), (F.size("own_a") + F.size("own_b")).alias("sum"))
-    return rows.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -205,50 +350,17 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     often = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "a").limit(MOST_OFTEN).collect()
     tokens = np.array([r.a for r in often], np.int64).view(np.uint64)
     by_hash = np.argsort(tokens)
-    order = Order(tokens[by_hash], (len(often) - np.arange(len(often)))[by_hash])
-
-    classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "reps")
-    # Rows that repeat an id and its text may double a sketch and so a pair, which does no harm.
-    sketches = seen.where("kind = 0 and n > 0").select(F.col("a").alias("doc_id"), "n", "fp", "sketch").join(classes, ["doc_id", "fp"])
-    lists = index_lists(docs, order, gram, percent)
-    lists = lists.selectExpr("token", "fp", "cast(place >> 56 as int) as salt", "(place >> 28) & 268435455 as n", "place & 268435455 as pos")
-    lists = lists.selectExpr(
-        "token", "fp", "n", "pos", "first_value(struct(fp, n, pos)) over (partition by token, salt order by pos, n, fp) as pivot",
-        "min(fp) over (partition by token, salt) as low", "max(fp) over (partition by token, salt) as high", "salt > 0 as salted",
-    )
-    # Frequent n-grams keep all their entries, as their lists go on under other salts.
-    lists = lists.where("low <> high or salted").select("token", "fp", "n", "pos", F.col("pivot.fp").alias("pivot"), F.col("pivot.n").alias("m"), F.col("pivot.pos").alias("qos"))
-    lists = scratch.put(lists, "lists")
-
-    first = lists.where("fp <> pivot").where(_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), percent))
-    first = scratch.put(first.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "first")
-    hopeful = scratch.put(promising(first, sketches, percent), "hopeful")
-    wanted = hopeful.select(F.col("a").alias("fp")).union(hopeful.select("b")).distinct()
-    own = scratch.put(sets_of(docs, classes.join(wanted, "fp").select("doc_id", "fp"), gram), "sets")
-    links = scratch.put(verified(hopeful, own, percent), "links")
-    part = scratch.put(connected_components(links, scratch, "part"), "components")
-
-    spread = lists.select("token", "fp", "n", "pos").join(part.select(F.col("id").alias("fp"), "component_id"), "fp", "left")
-    spread = spread.withColumn("component", F.coalesce("component_id", "fp")).drop("component_id")
-    open_ = spread.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    # The sketches go along, so the join below makes no row for a pair that they rule out.
-    spread = spread.join(open_, "token", "left_semi").join(sketches.select("fp", "sketch"), "fp")
-    spread = scratch.put(spread.withColumn("bucket", F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")), "spread")
-    left = spread.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
-    l, r = left.alias("l"), spread.alias("r")
-    c = F.col
-    rest = l.join(r, (c("l.token") == c("r.token")) & (c("l.bucket") == c("r.bucket")) & (c("l.component") != c("r.component"))
-                  & ((c("l.n") < c("r.n")) | ((c("l.n") == c("r.n")) & (c("l.fp") < c("r.fp"))))
-                  & _reach(c("l.n"), c("l.pos"), c("r.n"), c("r.pos"), percent) & _room(c("l.n"), c("l.sketch"), c("r.n"), c("r.sketch"), percent))
-    rest = rest.select(c("l.fp").alias("a"), c("r.fp").alias("b")).distinct()
-    done = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.put(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    wanted = rest.select(F.col("a").alias("fp")).union(rest.select("b")).distinct().join(own.select("fp"), "fp", "left_anti")
-    more = scratch.put(own.unionByName(sets_of(docs, classes.join(wanted, "fp").select("doc_id", "fp"), gram)), "more")
-    scratch.drop("lists", "spread", "sets")
-    found = links.unionByName(verified(rest, more, percent))
-    whole = scratch.put(connected_components(found, scratch, "whole"), "whole")
-    scratch.drop("more", "first", "hopeful", "rest", "links", "components")
+    order = Order(tokens[by_hash], np.array([r.n for r in often], np.int64)[by_hash], LIST)
+
+    classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id")), "reps")
+    lists = index_lists(docs, order, gram, percent).repartition("token").sortWithinPartitions("token", "place")
+    members = scratch.put(groups_of_lists(lists, percent).distinct(), "members")
+    wanted = scratch.put(classes.join(members.select("fp").distinct(), "fp"), "wanted")
+    own = scratch.put(sets_of(docs, wanted.select("doc_id", "fp"), gram), "sets")
+    links = scratch.put(links_of_groups(members.join(wanted.select("fp", "n"), "fp"), own, percent).distinct(), "links")
+    scratch.drop("members", "wanted", "sets")
+    whole = scratch.put(connected_components(links, scratch, "whole"), "whole")
+    scratch.drop("links")
 
     lowest = classes.join(whole.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component_id", "fp"))
     lowest = scratch.put(lowest.select("fp", "doc_id", "component"), "classes")
@@ -267,8 +379,10 @@ def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataF
     """
     ids = similar_components(docs, gram, percent).where("doc_id is not null").groupBy("doc_id")
     ids = ids.agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"), F.min("component_id").alias("component_id"))
-    scratch = Scratch(docs.sparkSession, "keep-one")
-    ids = scratch.put(ids.where("n > 0 and (component_id <> doc_id or rows > 1)").withColumnRenamed("doc_id", "id"), "ids")
-    rest = docs.join(ids, F.col("doc_id") == F.col("id"), "left_anti")
-    twice = docs.join(ids.where("component_id = id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    scratch, name = Scratch(docs.sparkSession, "keep-one"), fresh_name(docs)
+    ids = ids.where("n > 0 and (component_id <> doc_id or rows > 1)").select(F.col("doc_id").alias(name), (F.col("component_id") == F.col("doc_id")).alias(f"{name}_first"))
+    ids = scratch.put(ids, "ids")
+    same = F.col("doc_id") == F.col(name)
+    rest = docs.join(ids.select(name), same, "left_anti")
+    twice = docs.join(ids.where(f"{name}_first").select(name), same, "left_semi").dropDuplicates(["doc_id"])
     return rest.unionByName(twice)

@@ -232,47 +232,56 @@ def test_jaccard(spark, docs, monkeypatch):
     assert jaccard_join.similar_components(empty(spark)).count() == 0
 
 
-def test_jaccard_groups(spark):
-    """A large group of near copies, linked in part only, under frequent n-grams."""
-    r, v = random.Random(2), vocabulary()
-    base = [r.choice(v) for _ in range(120)]
-    rows = []
-    for i in range(150):
+def near_copies(seed: int, size: int, most: int, length: int = 120) -> list[str]:
+    r, v = random.Random(seed), vocabulary()
+    base = [r.choice(v) for _ in range(length)]
+    out = []
+    for _ in range(size):
         c = list(base)
-        for _ in range(r.randint(0, 7)):
+        for _ in range(r.randint(0, most)):
             c[r.randrange(len(c))] = f"w{r.randrange(10**6)}"
-        rows.append((i, " ".join(c)))
+        out.append(" ".join(c))
+    return out
+
+
+def jaccard_by_pairs(rows: list[tuple[int, str]]) -> dict[int, int]:
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(t) for _, t in rows)]
-    links = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    got = {x.doc_id: x.component_id for x in jaccard_join.similar_components(table(spark, rows)).collect()}
-    assert got == dict(enumerate(components(150, links)))
-
-
-def test_jaccard_salts(spark):
-    """Groups of near copies under frequent n-grams, one of them alone under its salt, whichever that is."""
-    r, v = random.Random(3), vocabulary()
-    salt = lambda t: jaccard_join.fingerprint(jaccard_join.shingles(t.encode())) % jaccard_join.SALTS
-    rows, expected = [], {}
-    for size in (14, 20, 40):
-        for alone in (0, 5):
-            base, own = [r.choice(v) for _ in range(120)], []
-            while len(own) < size:
-                c = list(base)
-                c[r.randrange(len(c))] = f"w{r.randrange(10**6)}"
-                if (salt(" ".join(c)) == alone) == (not own):  # only the first has this salt
-                    own.append(" ".join(c))
-            expected |= {len(rows) + i: len(rows) for i in range(size)}
-            rows += [(len(rows) + i, t) for i, t in enumerate(own)]
-    got = {x.doc_id: x.component_id for x in jaccard_join.similar_components(table(spark, rows).coalesce(1)).collect()}
-    assert got == expected
-
-
-def test_jaccard_full_sketches(spark):
-    """Sets too large for their sketches are never ruled out by them, however large."""
-    full, low = [jaccard_join.FULL] * jaccard_join.BUCKETS, [1] * jaccard_join.BUCKETS
-    sketches = spark.createDataFrame([(1, 5_000_000, full), (2, 5_000_000, full), (3, 4_100_000, [32_000] * 128), (4, 128, low), (5, 200, low)], "fp long, n long, sketch array<short>")
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 1), (4, 5)], "a long, b long")
-    assert sorted(map(tuple, jaccard_join.promising(pairs, sketches, 80).collect())) == [(1, 2), (1, 3), (3, 1)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    return dict(enumerate(components(len(rows), links)))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_groups(spark, monkeypatch, small):
+    """Groups of near copies, linked in part only, under frequent n-grams; small: in many parts and blocks."""
+    if small:
+        for name, value in (("LIST", 7), ("MEMBERS", 10), ("ELEMENTS", 3000)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    texts = [t for k, (size, most) in enumerate([(150, 7), (14, 1), (25, 2), (40, 1), (300, 9), (12, 5)]) for t in near_copies(k, size, most)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.component_id for x in jaccard_join.similar_components(table(spark, rows).coalesce(2)).collect()}
+    assert got == jaccard_by_pairs(rows)
+
+
+def test_jaccard_extra_columns(spark):
+    rows = [(i, t) for i, t in enumerate(near_copies(5, 12, 1))]
+    docs = table(spark, rows).selectExpr("*", "doc_id as id", "1 as own", "2 as _own_first", "3 as component_id")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [0]
+
+
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 12)), min_size=2, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_list_blocks_skip_nothing(entries):
+    """Whole blocks are passed over only where no pair of theirs has room."""
+    entries = sorted((n, min(p, n - 1)) for n, p in entries)
+    n, p = (np.array(x, np.int64) for x in zip(*entries))
+    room = lambda i, j: 180 * min(n[i] - p[i], n[j] - p[j]) >= 80 * (n[i] + n[j]) and 180 * min(n[i], n[j]) >= 80 * (n[i] + n[j])
+    expected = [any(room(i, j) for j in range(len(n)) if j != i) for i in range(len(n))]
+    block, jaccard_join.BLOCK = jaccard_join.BLOCK, 4
+    try:
+        assert jaccard_join.partners_by_block(n, p, 80).tolist() == expected == jaccard_join.partners(n[None], p[None], 80)[0].tolist()
+    finally:
+        jaccard_join.BLOCK = block
 
 
 # -- 5
