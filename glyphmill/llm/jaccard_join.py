@@ -10,6 +10,8 @@ most last, which is a matter of speed and not of the result.
   for a partner are passed over, and most lists end there.
 * What is left of a list is grouped under its smallest fingerprint, so sets that meet in many lists
   meet in few groups. A group is compared block against block, never pair by pair in rows.
+* Sketch skipping: the sum of the smaller counts, bucket by bucket, bounds what two sets share, so most sets
+  without a similar one leave their group before their elements are read.
 * Answer skipping: within a block one pivot is compared with all. Its answers are one component and need
   no comparison among themselves; for the others, what both share with the pivot and what both have besides bounds
   what they share with one another, and only sets for which that bound leaves room are compared.
@@ -91,28 +93,36 @@ class Order:
         return -(-self.counts[np.searchsorted(self.often, tokens)] // self.longest)
 
 
-SURVEY = "kind int, a long, n long, fp long"
+SURVEY = "kind int, a long, n long, fp long, sketch binary"
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """How many elements there are by their leading bits, about eight a bucket; empty if a count doesn't fit."""
+    bits = min(16, max(3, (len(own) // 8).bit_length()))
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def survey(docs: DataFrame, gram: int) -> DataFrame:
     """Kind 0: doc_id, set size and fingerprint of each document. Kind 1: n-grams that recur in a run, with their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, total, seen = ["kind", "a", "n", "fp"], [], 0, set()
+        names, held, total, seen = ["kind", "a", "n", "fp", "sketch"], [], 0, set()
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= OFTEN_HERE
             values, counts = values[keep], counts[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), pa.array(signed(values)), pa.array(counts.astype(np.int64)), pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.binary())], names)
 
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, sketches = [], [], []
             for t in utf8(batch.column(1)):
                 own = shingles(t, gram)
                 fp = fingerprint(own)
                 sizes.append(len(own))
                 prints.append(fp)
+                sketches.append(sketch(own))
                 if len(own) and fp not in seen:  # copies within a run count once
                     seen.add(fp)
                     held.append(own)
@@ -120,7 +130,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
                 if total >= RUN:
                     yield frequent()
                     held, total, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(batch), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names)
         if held:
             yield frequent()
 
@@ -305,40 +315,91 @@ def united(sets: list[np.ndarray], pivot: int, percent: int) -> np.ndarray:
     return label
 
 
-def links_of_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that unite the similar sets of each group. members: (pivot, fp, n). Groups larger than a block are dealt out as pairs of blocks."""
-    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / ELEMENTS)).cast("int").alias("g"))
-    rows = members.select("pivot", "fp").join(sizes, "pivot").withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
+def hopeful(sketches: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have a partner that the sketches leave room for. Similar sets' sketches differ in length by a factor of two at most."""
+    length = np.array([len(s) for s in sketches])
+    keep = length == 0  # without a sketch nothing is ruled out, for none of the group
+    if keep.any():
+        return np.ones(len(sketches), bool)
+    for buckets in np.unique(length).tolist():
+        at = np.flatnonzero((length == buckets) | (length == 2 * buckets))
+        rows = np.empty((len(at), buckets), np.uint16)
+        for i, k in enumerate(at.tolist()):
+            own = np.frombuffer(sketches[k], np.uint8)
+            rows[i] = own if len(own) == buckets else own.reshape(-1, 2).sum(axis=1, dtype=np.uint16)
+        for i in range(len(at)):
+            if not keep[at[i]]:
+                room = (100 + percent) * np.minimum(rows, rows[i]).sum(axis=1, dtype=np.int64) >= percent * (sizes[at] + sizes[at[i]])
+                room[i] = False
+                keep[at[room]] = True
+                keep[at[i]] = room.any()
+    return keep
+
+
+def by_group(members: DataFrame, content: DataFrame, most: int) -> DataFrame:
+    """(pivot, lo, hi, fp, n, content) in groups. members: (pivot, fp, n); content: (fp, content), of which a block holds about `most` elements.
+
+    Groups larger than a block are dealt out as pairs of blocks.
+    """
+    sizes = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / most)).cast("int").alias("g"))
+    rows = members.join(sizes, "pivot").withColumn("k", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("pivot", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "fp").join(sets, "fp")
-    rows = rows.select("pivot", "lo", "hi", "fp", "own").repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "fp")
+    rows = rows.select("pivot", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), "fp", "n").join(content, "fp")
+    return rows.select("pivot", "lo", "hi", "fp", "n", "content").repartition("pivot", "lo", "hi").sortWithinPartitions("pivot", "lo", "hi", "fp")
+
+
+def blocks(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+    """(pivot, fingerprints, sizes, contents) of each block with more than one set; read gives the contents of a batch's last column."""
+    now, prints, sizes, held = None, [], [], []
+    for batch in batches:
+        contents = read(batch.column(5))
+        for (*key, fp, n), x in zip(zip(*(batch.column(k).to_pylist() for k in range(5))), contents):
+            if key != now:
+                if len(prints) > 1:
+                    yield now[0], np.array(prints), np.array(sizes), held
+                now, prints, sizes, held = key, [], [], []
+            if not prints or prints[-1] != fp:  # rows that repeat an id and its text
+                prints.append(fp)
+                sizes.append(n)
+                held.append(x)
+    if len(prints) > 1:
+        yield now[0], np.array(prints), np.array(sizes), held
+
+
+def hopeful_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(pivot, fp): the members for which sketches leave room for a partner in their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, prints, sets_ = None, [], []
+        out = []
+        for pivot, prints, sizes, own in blocks(batches, lambda column: column.to_pylist()):
+            at = prints[hopeful(own, sizes, percent)]
+            if len(at):
+                out.append((np.full(len(at), pivot), at))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["pivot", "fp"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["pivot", "fp"])
+
+    return by_group(members, sketches, 8 * ELEMENTS).mapInArrow(run, "pivot long, fp long").distinct()
+
+
+def links_of_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that unite the similar sets of each group. members: (pivot, fp, n)."""
+
+    def arrays(column: pa.Array) -> list[np.ndarray]:
+        flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [np.array(x) for x in np.split(flat, ends[1:-1] - ends[0])] if len(column) else []
 
-        def compared():
-            if len(prints) < 2:
-                return
-            label = united(sets_, prints.index(now[0]) if now[0] in prints else 0, percent)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pivot, prints, _, own in blocks(batches, arrays):
+            at = np.flatnonzero(prints == pivot)
+            label = united(own, int(at[0]) if len(at) else 0, percent)
             at = np.flatnonzero(label != np.arange(len(label)))
             if len(at):
-                fp = np.array(prints)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], ["a", "b"])
-
-        for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
-            flat, ends = batch.column(4).flatten().to_numpy(zero_copy_only=False), batch.column(4).offsets.to_numpy()
-            ends = ends - ends[0] if len(ends) else ends
-            for i, (*key, fp) in enumerate(keys):
-                if key != now:
-                    yield from compared()
-                    now, prints, sets_ = key, [], []
-                if not prints or prints[-1] != fp:  # rows that repeat an id and its text
-                    prints.append(fp)
-                    sets_.append(np.array(flat[ends[i] : ends[i + 1]]))
-        yield from compared()
+                yield pa.RecordBatch.from_arrays([pa.array(prints[at]), pa.array(prints[label[at]])], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return by_group(members, sets, ELEMENTS).mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
@@ -355,10 +416,13 @@ def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT
     classes = scratch.put(sets.where("n > 0 and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("doc_id")), "reps")
     lists = index_lists(docs, order, gram, percent).repartition("token").sortWithinPartitions("token", "place")
     members = scratch.put(groups_of_lists(lists, percent).distinct(), "members")
+    # Rows that repeat an id and its text may double a sketch or a set, which does no harm.
+    sketches = seen.where("kind = 0 and n > 0").select(F.col("a").alias("doc_id"), "fp", F.col("sketch").alias("content")).join(classes, ["doc_id", "fp"]).select("fp", "content")
+    members = scratch.put(hopeful_members(members.join(classes.select("fp", "n"), "fp"), sketches, percent), "hopeful")
     wanted = scratch.put(classes.join(members.select("fp").distinct(), "fp"), "wanted")
     own = scratch.put(sets_of(docs, wanted.select("doc_id", "fp"), gram), "sets")
-    links = scratch.put(links_of_groups(members.join(wanted.select("fp", "n"), "fp"), own, percent).distinct(), "links")
-    scratch.drop("members", "wanted", "sets")
+    links = scratch.put(links_of_groups(members.join(wanted.select("fp", "n"), "fp"), own.withColumnRenamed("own", "content"), percent).distinct(), "links")
+    scratch.drop("members", "hopeful", "wanted", "sets")
     whole = scratch.put(connected_components(links, scratch, "whole"), "whole")
     scratch.drop("links")
 
