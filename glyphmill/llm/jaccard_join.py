@@ -261,7 +261,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
                     ends = np.cumsum([0, *(len(o) for _, o in kept)])
                     yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o for _, o in kept])))], ["fp", "own"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    # Merged at every size, as what is wanted has no bound.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_merge"), "doc_id")
     return rows.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
 
 
