@@ -449,5 +449,7 @@ def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataF
     ids = scratch.put(ids, "ids")
     same = F.col("doc_id") == F.col(name)
     rest = docs.join(ids.select(name), same, "left_anti")
-    twice = docs.join(ids.where(f"{name}_first").select(name), same, "left_semi").dropDuplicates(["doc_id"])
-    return rest.unionByName(twice)
+    first = ids.where(f"{name}_first").select(name)
+    if first.isEmpty():  # no row repeats an id
+        return rest
+    return rest.unionByName(docs.join(first, same, "left_semi").dropDuplicates(["doc_id"]))

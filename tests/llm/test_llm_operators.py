@@ -485,6 +485,24 @@ def test_substrings(spark, docs):
     assert substring_dedup.removal(empty(spark)).count() == 0
 
 
+def test_substrings_hot_passage(spark):
+    """A passage in most documents, many of them in one run, twice in some; ids that two texts share; clashing columns."""
+    r, v = random.Random(12), vocabulary()
+    passage = [r.choice(v) for _ in range(45)]
+    rows = []
+    for i in range(200):
+        own = [f"{r.choice(v)}{r.randrange(99)}" for _ in range(30)]
+        at = r.randint(0, 30)
+        rows.append((i // 2 if i in (21, 61) else i, " ".join(own[:at] + passage * (1 + i % 3 // 2) + own[at:])))
+    expected = removed(rows)
+    got = substring_dedup.removal(table(spark, rows).coalesce(2)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == sorted((a, b, c, hashlib.sha256(d).digest()) for a, b, c, d in expected)
+    docs = table(spark, rows).selectExpr("*", "doc_id as _id", "1 as _cuts", "2 as own", "length(text) as n_chars", "'x' as class")
+    cut = substring_dedup.remove_repeats(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in cut.collect()) == sorted((i, k.decode() if n else t, len(k.decode() if n else t)) for (i, t), (_, _, n, k) in zip(rows, expected))
+
+
 # -- 10
 
 
