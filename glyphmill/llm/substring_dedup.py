@@ -34,7 +34,7 @@ from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, pieces,
 WINDOW = 20
 SEED = 6
 #: Anchors or windows of a run.
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 def class_hash(words: np.ndarray) -> int:
@@ -103,8 +103,8 @@ class Run:
         known = later if self.earliest else np.bincount(number, later | other).astype(bool)[number]
         names = [x.split()[0] for x in ROWS.split(", ")]
         go = np.flatnonzero(first | (other & ~later) if self.earliest else first)
-        for a in range(0, len(go), 100_000):
-            x = go[a : a + 100_000]
+        for a in range(0, len(go), 50_000):
+            x = go[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(cls[x]), pa.array(doc[x]), pa.array(at[x].astype(np.int32)), pa.nulls(len(x), pa.list_(pa.int32()))], names)
         if known.any():
             cls, doc, at = cls[known], doc[known], at[known]
