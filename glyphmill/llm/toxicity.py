@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -143,24 +144,28 @@ def train(rows: list[tuple[bytes, int]], settings: Settings = Settings()) -> Mod
     rows = sorted(set(rows))
     random.Random(7).shuffle(rows)
     learn, tune = rows[: len(rows) * 2 // 3], rows[len(rows) * 2 // 3 :]
-    split = {y: [[w for w in (v.strip(EDGES) for v in windows(t)) if w] for t, label in learn if label == y] for y in (0, 1)}
-    if not split[0] or not split[1] or {y for _, y in tune} != {0, 1}:
+    words = lambda t: [w for w in (v.strip(EDGES) for v in windows(t)) if w]
+    texts = {y: [t for t, label in learn if label == y] for y in (0, 1)}
+    if not texts[0] or not texts[1] or {y for _, y in tune} != {0, 1}:
         return Model(b"", b"", ())
-    common = Counter(w for words in split[0] for w in set(words))
-    around: dict[bytes, set] = defaultdict(set)
-    rate = len(split[0]) / len(split[1]) / 20
-    for words in split[1]:
-        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
-            around[w].add((before, after))
+    rate = len(texts[0]) / len(texts[1]) / 20
     # Windows that recur in toxic text among different neighbours, which copies of one text don't have.
-    least = max(3, math.ceil(0.004 * len(split[1])))
+    least = max(3, math.ceil(0.004 * len(texts[1])))
+    counts = {w: n for w, n in Counter(w for t in texts[1] for w in words(t)).items() if n >= least}
+    common = Counter(w for t in texts[0] for w in set(words(t)) if w in counts)
+    around: dict[bytes, set] = {w: set() for w, n in counts.items() if common[w] <= rate * n}
+    for t in texts[1]:
+        own = words(t)
+        for before, w, after in zip([b"", *own], own, [*own[1:], b""]):
+            if w in around:
+                around[w].add((before, after))
     marks = {w: len(c) for w, c in around.items() if len(c) >= least and common[w] <= rate * len(c)}
     if not marks:
         return Model(b"", b"", ())
     pool = sorted(w for w, n in marks.items() for _ in range(min(n, 40)))
     random.Random(2).shuffle(pool)
     group = lambda words: [b"".join(b" %s " % w for w in words[i : i + 8]) for i in range(0, len(words), 8)]
-    plain = [w for words in split[0][:2500] for w in words][:600_000]
+    plain = list(islice((w for t in texts[0][:2500] for w in words(t)), 600_000))
     toxic, ordinary = _dictionary(settings.toxic_bytes, group(pool)), _dictionary(settings.ordinary_bytes, group(plain))
     gauge = Gauge(toxic, ordinary)
     x = np.array([gauge.features(t) for t, _ in tune])
@@ -174,7 +179,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     for label, most in ((1, settings.most_toxic), (0, settings.most_ordinary)):
         ids = y.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         got = docs.select("doc_id", "text").where(F.length("text").between(1, settings.longest)).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-        out += [(r.text.encode(), label) for r in got.select("text").collect()]
+        # Ids may repeat; so many texts at most.
+        out += [(r.text.encode(), label) for r in got.select("text").orderBy(F.xxhash64("text"), "text").limit(most).collect()]
     return out
 
 
