@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,6 +97,31 @@ def word_hashes(text: bytes, lower: bool) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
+def _factors(n: int) -> np.ndarray:
+    """A fixed random number for each place in a word."""
+    return np.random.default_rng(31).integers(0, 1 << 64, max(64, n), np.uint64)
+
+
+def distinct_words(plain: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, end to end, as numbers; the different words with these numbers and their 64-bit hashes; and where texts begin and end."""
+    words = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
+    coded = words.flatten().dictionary_encode()
+    at, ends = coded.indices.to_numpy(), words.offsets.to_numpy()
+    size = pc.binary_length(coded.dictionary).to_numpy()
+    if (empty := size == 0).any():  # at either end of a text
+        keep = ~empty[at]
+        at, ends = at[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+    some = np.flatnonzero(size)
+    out = np.zeros(len(size), np.uint64)
+    if len(some):
+        offsets = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(size) + 1]
+        data = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        start = (offsets - offsets[0])[some]
+        place = np.arange(len(data)) - np.repeat(start, size[some])
+        out[some] = mix(np.add.reduceat((data + np.uint64(1)) * _factors(int(size.max()))[place], start))
+    return at, coded.dictionary, out, ends
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the 64 output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

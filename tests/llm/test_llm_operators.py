@@ -179,6 +179,11 @@ def test_lm_is_a_distribution():
         p, q = m.parts(own)
         total += (0.5 * p + 0.5 * q).reshape(-1, 4)[:, 3].sum()
     assert total == pytest.approx(1, abs=1e-3)
+    # What begins a word: the sum over such ids.
+    begins, before, ids = np.flatnonzero(lm.coder(VOCAB).begins), np.array([lm.END, *context]), np.array([*context, 9])
+    found = m.attention(before, ids, np.array([4]))[1][3], m.begin_near[7]
+    p, q = m.parts([np.array([*context, k]) for k in begins])
+    assert np.allclose([p.reshape(-1, 4)[:, 3].sum(), q.reshape(-1, 4)[:, 3].sum()], found, rtol=1e-3)
     long = np.arange(300, 400)
     whole, cut = m.parts([long])[0], m.parts([long[:50]])[0]
     assert np.allclose(whole[:50], cut, rtol=1e-4)
@@ -186,7 +191,7 @@ def test_lm_is_a_distribution():
 
 def test_lm_windows():
     at, inside = lm.windows(np.array([1, 40, 16]))
-    scored = at[:, lm.STRIDE :][inside[:, lm.STRIDE :]]
+    scored = at[:, -lm.STRIDE :][inside[:, -lm.STRIDE :]]
     assert sorted(scored.tolist()) == list(range(57))
 
 
