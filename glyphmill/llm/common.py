@@ -102,11 +102,14 @@ def _factors(n: int) -> np.ndarray:
     return np.random.default_rng(31).integers(0, 1 << 64, max(64, n), np.uint64)
 
 
-def distinct_words(plain: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def distinct_words(plain: list[bytes] | pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """The words of texts, end to end, as numbers; the different words with these numbers and their 64-bit hashes; and where texts begin and end."""
-    words = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
+    if isinstance(plain, list):
+        plain = pa.array(plain, pa.large_binary())
+    words = pc.ascii_split_whitespace(plain.cast(pa.large_string()))
     coded = words.flatten().dictionary_encode()
     at, ends = coded.indices.to_numpy(), words.offsets.to_numpy()
+    ends = ends - ends[0]
     size = pc.binary_length(coded.dictionary).to_numpy()
     if (empty := size == 0).any():  # at either end of a text
         keep = ~empty[at]
@@ -145,11 +148,15 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows that together hold about `size` bytes of text."""
+    return runs(list(map(len, texts)), size)
+
+
+def runs(lengths: list[int], size: int) -> Iterator[tuple[int, int]]:
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
+    for i, n in enumerate(lengths):
+        total += n
         if total >= size:
             yield start, i + 1
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
