@@ -23,11 +23,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.common import slices, utf8
+from glyphmill.llm.common import slices, trimmed, utf8
 
 #: The pre-token pattern of byte-level BPE, white space written as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MOST_CACHED = 900_000
+MOST_CACHED = 300_000
 SLICE = 2 << 20
 
 
@@ -225,4 +225,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", decode:
 
     names = [key, "ids", "decoded"][: 3 if decode else 2]
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, ids array<int>" + ", decoded string" * decode)
+    return docs.select(key, "text").mapInArrow(trimmed(run), f"{key} {kind}, ids array<int>" + ", decoded string" * decode)

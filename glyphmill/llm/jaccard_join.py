@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, signed, slices, utf8, word_hashes
+from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, signed, slices, trimmed, utf8, word_hashes
 from glyphmill.llm.components import connected_components
 
 GRAM = 5
@@ -134,7 +134,7 @@ def survey(docs: DataFrame, gram: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SURVEY)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), SURVEY)
 
 
 def dealt(token: int, fp: int, parts: int) -> list[int]:
@@ -180,7 +180,7 @@ def index_lists(docs: DataFrame, order: Order, gram: int, percent: int) -> DataF
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(prints)), pa.array(np.concatenate(places))], ["token", "fp", "place"])
 
-    return docs.select("text").mapInArrow(run, "token long, fp long, place long")
+    return docs.select("text").mapInArrow(trimmed(run), "token long, fp long, place long")
 
 
 def partners(n: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def groups_of_lists(lists: DataFrame, percent: int) -> DataFrame:
         if held is not None and held.shape[1]:
             yield from sieved(*held)
 
-    return lists.mapInArrow(run, "pivot long, fp long")
+    return lists.mapInArrow(trimmed(run), "pivot long, fp long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
@@ -263,7 +263,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
 
     # Merged at every size, as what is wanted has no bound.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_merge"), "doc_id")
-    return rows.select("fp", "text").mapInArrow(run, "fp long, own array<long>")
+    return rows.select("fp", "text").mapInArrow(trimmed(run), "fp long, own array<long>")
 
 
 def overlaps(owner: np.ndarray, column: np.ndarray, rows: np.ndarray, members: int) -> np.ndarray:
@@ -382,7 +382,7 @@ def hopeful_members(members: DataFrame, sketches: DataFrame, percent: int) -> Da
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["pivot", "fp"])
 
-    return by_group(members, sketches, 8 * ELEMENTS).mapInArrow(run, "pivot long, fp long").distinct()
+    return by_group(members, sketches, 8 * ELEMENTS).mapInArrow(trimmed(run), "pivot long, fp long").distinct()
 
 
 def links_of_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -400,7 +400,7 @@ def links_of_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(prints[at]), pa.array(prints[label[at]])], ["a", "b"])
 
-    return by_group(members, sets, ELEMENTS).mapInArrow(run, "a long, b long")
+    return by_group(members, sets, ELEMENTS).mapInArrow(trimmed(run), "a long, b long")
 
 
 def similar_components(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, pieces, signed, utf8, word_hashes
+from glyphmill.llm.common import Scratch, fresh_name, gram_hashes, mix, pieces, signed, trimmed, utf8, word_hashes
 
 WINDOW = 20
 SEED = 6
@@ -72,7 +72,7 @@ def word_table(docs: DataFrame) -> DataFrame:
                 whole.append(digest.digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary())], ["doc_id", "class", "n_words", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, class long, n_words long, whole binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, class long, n_words long, whole binary")
 
 
 ROWS = "key long, class long, doc_id long, at int, known array<int>"
@@ -140,7 +140,7 @@ def anchor_table(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     yield from held.rows()
         yield from held.rows()
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, ROWS)
+    return docs.where("doc_id is not null").select("text").mapInArrow(trimmed(run), ROWS)
 
 
 def extended(texts: DataFrame, window: int, seed: int) -> DataFrame:
@@ -162,7 +162,7 @@ def extended(texts: DataFrame, window: int, seed: int) -> DataFrame:
                     yield from held.rows()
         yield from held.rows()
 
-    return texts.select("doc_id", "class", "places", "text").mapInArrow(run, ROWS)
+    return texts.select("doc_id", "class", "places", "text").mapInArrow(trimmed(run), ROWS)
 
 
 def settled(rows: DataFrame, by: str) -> DataFrame:
@@ -224,7 +224,7 @@ def removal(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
 
     part = gone.where("starts is not null")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(part.hint("shuffle_merge"), "doc_id").select("doc_id", "class", "starts", "text")
-    cut = texts.mapInArrow(run, "doc_id long, class long, n_removed long, left binary").distinct()
+    cut = texts.mapInArrow(trimmed(run), "doc_id long, class long, n_removed long, left binary").distinct()
     none = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
     cut = cut.unionByName(gone.where("starts is null").join(words.select("doc_id", "class", "n_words").distinct(), ["doc_id", "class"]).select("doc_id", "class", F.col("n_words").alias("n_removed"), none.alias("left")))
     out = words.join(cut, ["doc_id", "class"], "left")
@@ -257,7 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     scratch.drop("words", "gone")
     joined = docs.join(side.hint("shuffle_merge"), F.col("doc_id").cast("long") == F.col(name), "left")
     schema = StructType([*docs.schema.fields, StructField(f"{name}_changed", BooleanType())])
-    out = joined.select(*names, f"{name}_cuts").mapInArrow(run, schema)
+    out = joined.select(*names, f"{name}_cuts").mapInArrow(trimmed(run), schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(f"{name}_changed"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import crc_of_id, pieces, utf8
+from glyphmill.llm.common import crc_of_id, pieces, trimmed, utf8
 
 EDGES = b".,;:!?*%$&#()[]{}<>\"'-"
 #: Both dictionaries end in it; a window is compressed between it and its first bytes, as
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(trimmed(run), f"doc_id {kind}, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= settings.threshold, 1).otherwise(0))
 
 
@@ -214,4 +214,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
             keep = [judge(t) < settings.threshold for t in utf8(batch.column(names.index("text")))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
