@@ -131,8 +131,12 @@ class _Reader:
             if c == "\\":
                 e = self.t[self.i : self.i + 1]
                 if e == "u" and re.match(r"[0-9a-fA-F]{4}", self.t[self.i + 1 : self.i + 5]):
-                    out.append(json.loads(f'"\\u{self.t[self.i + 1 : self.i + 5]}"'))
-                    self.i += 5
+                    pair = re.match(r"u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", self.t[self.i : self.i + 11])
+                    code = self.t[self.i : self.i + (11 if pair else 5)]
+                    if not pair and 0xD800 <= int(code[1:], 16) <= 0xDFFF:
+                        raise RepairError("half_a_surrogate_pair", self.i)
+                    out.append(json.loads(f'"\\{code}"'))
+                    self.i += len(code)
                 elif e and e in '"\\/bfnrt':
                     out.append(json.loads(f'"\\{e}"'))
                     self.i += 1

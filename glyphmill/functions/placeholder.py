@@ -17,7 +17,7 @@ def has_reserved(text: Column) -> Column:
 
 
 def token(number: Column) -> Column:
-    return F.concat(F.lit(OPEN), F.lpad(number.cast("string"), 4, "0"), F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), F.format_string("%04d", number), F.lit(CLOSE))
 
 
 def protect(text: Column, pattern: str) -> Column:
@@ -34,12 +34,12 @@ def restore(text: Column, originals: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({OPEN}[0-9]{{4}}{CLOSE})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({OPEN}[0-9]{{4,}}{CLOSE})"), F.lit(1))
 
 
 def malformed(text: Column) -> Column:
     """Whether an envelope is opened that no well-formed token accounts for."""
-    rest = F.regexp_replace(text, f"{OPEN}[0-9]{{4}}{CLOSE}", "")
+    rest = F.regexp_replace(text, f"{OPEN}[0-9]{{4,}}{CLOSE}", "")
     return F.contains(rest, F.lit(OPEN))
 
 

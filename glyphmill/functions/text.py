@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 BLANK = r"[\x{9}-\x{b}\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Code points that take two columns.
 WIDE = r"[\x{1100}-\x{115f}\x{2e80}-\x{303e}\x{3041}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe6f}\x{ff00}-\x{ff60}\x{ffe0}-\x{ffe6}]"
+#: Kana of runs that are looked for in translations.
 KANA = r"\x{3041}-\x{3096}\x{309d}-\x{309f}\x{30a1}-\x{30fa}\x{30fd}-\x{30ff}\x{ff66}-\x{ff9d}"
-CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}"
+#: The code points that make a Japanese source, kana letters first.
+JAPANESE = (
+    r"\x{3041}-\x{3096}\x{309f}\x{30a1}-\x{30fa}\x{30ff}\x{31f0}-\x{31ff}\x{ff66}-\x{ff6f}\x{ff71}-\x{ff9d}"
+    r"\x{3007}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2a6df}\x{2a700}-\x{2ee5f}\x{2f800}-\x{2fa1f}\x{30000}-\x{323af}"
+)
 FULLWIDTH = "，。！？：；（）【】「」"
 HALFWIDTH = ",.!?:;()[]\"\""
 
@@ -41,7 +46,7 @@ def display_width(text: Column) -> Column:
 
 
 def needs_japanese(text: Column) -> Column:
-    return text.rlike(f"[{KANA}{CJK}]")
+    return text.rlike(f"[{JAPANESE}]")
 
 
 def needs_english(text: Column, words: int = 2, letters: int = 6) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def derive(paths: DataFrame, owner: str, steps: str) -> DataFrame:
-    """(owner, resource, access) for every prefix of each path (array of steps)."""
-    out = paths.select(owner, F.col(steps).alias("_s"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(F.col(steps), 1, i), "/"))).alias("_i", "resource"))
+    """(owner, resource, access) for every prefix of each path (array of steps), joined by /; a step's own ~ and / become ~0 and ~1."""
+    out = paths.select(owner, F.col(steps).alias("_s"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.transform(F.slice(F.col(steps), 1, i), lambda s: F.replace(F.replace(s, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), "/"))).alias("_i", "resource"))
     return out.select(owner, "resource", F.when(F.col("_i") == F.size("_s") - 1, "exclusive").otherwise("intent").alias("access")).distinct()
 
 

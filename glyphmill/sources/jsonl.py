@@ -19,7 +19,7 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     text = F.col("content").cast("string")
     # The line end of the last line doesn't begin another.
-    rows = files.select(path.alias("path"), F.posexplode(F.split(F.regexp_replace(text, "\r?\n$", ""), "\r?\n", -1)).alias("line", "value"), (F.length("content") == 0).alias("empty"))
+    rows = files.select(path.alias("path"), F.posexplode(F.split(F.regexp_replace(text, r"\r?\n\z", ""), "\r?\n", -1)).alias("line", "value"), (F.length("content") == 0).alias("empty"))
     return rows.where(~F.col("empty")).drop("empty")
 
 

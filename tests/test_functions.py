@@ -83,3 +83,21 @@ def test_placeholder_columns(spark):
     r = df.select(placeholder.protect(F.col("t"), "%[0-9]").alias("p"), placeholder.spans(F.col("t"), "%[0-9]").alias("o"))
     r = r.select("p", placeholder.restore(F.col("p"), F.col("o")).alias("back"), placeholder.violation(F.col("p"), F.reverse(F.col("p")), True).alias("v"), placeholder.violation(F.col("p"), F.col("p"), True).alias("none")).first()
     assert r.back == "x %1 y %2" and r.v == "token_counts" and r.none is None
+
+
+def test_json_repair_pairs():
+    """Both halves of an escaped pair are read together, and a lone half is refused."""
+    high, low = chr(92) + "ud83d", chr(92) + "ude00"
+    assert json.loads(json_repair.repair("{a: '" + high + low + "'}")) == {"a": chr(0x1F600)}
+    for half in (high, low, high + "x"):
+        with pytest.raises(json_repair.RepairError):
+            json_repair.repair("{a: '" + half + "'}")
+
+
+def test_token_numbers_and_kana(spark):
+    numbers = spark.createDataFrame([(9,), (1000,), (10000,), (10001,)], "n int").select(placeholder.token(F.col("n")).alias("t"))
+    got = [r.t for r in numbers.collect()]
+    assert len(set(got)) == 4 and numbers.where(placeholder.malformed(F.col("t"))).count() == 0
+    chars = "〇ㇰ𠀋ｦｱｰゝヽー"
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", T.needs_japanese(F.col("c")).alias("x")).collect()
+    assert "".join(r.c for r in rows if r.x) == "〇ㇰ𠀋ｦｱ"

@@ -174,3 +174,17 @@ def test_units(spark):
     d = spark.createDataFrame([("s", 3, "a\nb"), ("s", 1, "c"), ("s", 2, None)], "source string, doc_id long, text string")
     got = units.units_of(d.where("text is not null"), "source", "doc_id", "text")
     assert rows(got, "natural_id", "text") == [("s:line1:unit1", "c"), ("s:line2:unit1", "a"), ("s:line2:unit2", "b")]
+
+
+def test_claims_apart(spark):
+    """Steps that hold the separator are not the paths that they look like."""
+    p = spark.createDataFrame([(1, ["a/b"]), (2, ["a", "b"]), (3, ["a~1b"])], "o int, steps array<string>")
+    whole = {r.o: r.resource for r in claims.derive(p, "o", "steps").where("access = 'exclusive'").collect()}
+    assert len(set(whole.values())) == 3
+
+
+def test_jsonl_blank_last_line(spark, tmp_path):
+    from glyphmill.sources import jsonl
+
+    (tmp_path / "x.jsonl").write_bytes(b"1\r\n\r\n")
+    assert [r.value for r in jsonl.read_lines(spark, str(tmp_path)).orderBy("line").collect()] == ["1", ""]
