@@ -47,9 +47,7 @@ def components(links: DataFrame, root: str | None = None, most: int = 40) -> Dat
     """(id, component) by repeated smallest labels; each round is checkpointed in the shared folder."""
     spark = links.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
+        spark.sparkContext.setCheckpointDir(root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch")  # which is shared, too
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")).checkpoint()
     for _ in range(most):
