@@ -33,3 +33,22 @@ def automatic_applicability(source_lang: Column, target_lang: Column, group: Col
 def manual_applicability(source_lang: Column, target_lang: Column, path: Column, kind: Column, group: Column, unit: Column, shape: Column, text: Column) -> Column:
     """Binds everything about the unit itself and nothing of its siblings."""
     return framed_sha256(source_lang, target_lang, path, kind, group, unit, shape, text, domain="glyphmill/manual")
+
+
+def game_applicability(source_lang: Column, target_lang: Column, owner: Column, kind: Column, location: Column, role: Column, shape: Column, text: Column, own_context: Column, context: Column) -> Column:
+    """Binds the language pair, the owner, the group's kind and place, the unit's role, shape and text, and both contexts."""
+    return framed_sha256(source_lang, target_lang, owner, kind, location, role, shape, text, own_context, context, domain="glyphmill/game")
+
+
+def bindings_sha256(bindings: Column) -> Column:
+    """The digest of protected spans in order: array<struct<token, original, label, scope, order, wrapper>>.
+
+    Wrappers count by the number of their first appearance, whatever they are named; a span without one has null.
+    """
+
+    def digest(b: Column) -> Column:
+        pairs = F.array_distinct(F.filter(F.transform(b, lambda x: x.wrapper), lambda w: w.isNotNull()))
+        one = lambda x: F.concat(*(frame(v) for v in (x.token, x.original, x.label, x.scope, x.order)), frame((F.array_position(pairs, x.wrapper) - 1).cast("string")))
+        return F.sha2(F.unhex(F.concat(frame(F.lit("glyphmill/bindings"), "00"), F.array_join(F.transform(b, one), ""))), 256)
+
+    return F.get(F.transform(F.array(bindings), digest), F.lit(0))

@@ -142,3 +142,23 @@ def readable_key(key: Column) -> Column:
 def wrapper(text: Column) -> Column:
     """The name of a tag that wraps the whole text; empty if none does."""
     return F.regexp_extract(text, r"(?s)^<([a-z]+)>.*</\1>$", 1)
+
+
+def domain_tokens(value: Column) -> Column:
+    """The parts of a value listed with the first of , ; | that it holds, lower-cased, each once; nothing unless all 2 or more are plain and of 80 characters at most."""
+
+    def parts(v: Column) -> Column:
+        mark = F.when(F.contains(v, F.lit(",")), ",").when(F.contains(v, F.lit(";")), ";").when(F.contains(v, F.lit("|")), "|")
+        items = F.transform(F.call_function("split", v, F.concat(F.lit("["), mark, F.lit("]")), F.lit(-1)), lambda p: F.trim(p))
+        plain = F.forall(items, lambda p: p.rlike(r"\A[^,;|\r\n]{1,80}\z"))
+        return F.when(mark.isNotNull() & plain, F.array_distinct(F.transform(items, F.lower)))
+
+    return F.coalesce(F.get(F.transform(F.array(F.trim(value)), parts), F.lit(0)), F.array().cast("array<string>"))
+
+
+def reference_tokens(value: Column) -> Column:
+    """A value of 80 characters at most, and what it holds in brackets at its head, lower-cased."""
+    v = F.trim(value)
+    own = F.when((F.length(v) > 0) & (F.length(v) <= 80), F.lower(v))
+    head = F.nullif(F.lower(F.trim(F.regexp_extract(v, r"\A\[([^\]\r\n]{1,80})\]", 1))), F.lit(""))
+    return F.array_distinct(F.filter(F.array(own, head), lambda x: x.isNotNull()))

@@ -33,3 +33,8 @@ def conflicts(claims: DataFrame, resource: str, owner: str, access: str) -> Data
     c = claims.groupBy(resource, owner).agg(F.bool_or(F.col(access) == "exclusive").alias("x"))
     a, b = c.select(resource, F.col(owner).alias("a"), F.col("x").alias("xa")), c.select(resource, F.col(owner).alias("b"), F.col("x").alias("xb"))
     return a.join(b, resource).where("a < b and (xa or xb)").select(resource, "a", "b")
+
+
+def ordered(claims: DataFrame, resource: str, access: str, location: str) -> DataFrame:
+    """claims in the order of resource, access and location, one sort by ranges."""
+    return claims.orderBy(resource, access, location)

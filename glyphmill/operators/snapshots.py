@@ -64,3 +64,24 @@ def schema_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
     j = expected.select("name", F.col("definition").alias("_e")).join(actual.select("name", F.col("definition").alias("_a")), "name", "full_outer")
     kind = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_e") != F.col("_a"), "mismatched")
     return j.select("name", kind.alias("finding")).where("finding is not null")
+
+
+def update(table: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame:
+    """The table with values set where the condition holds, and `changed` on those rows."""
+    hit = F.coalesce(where, F.lit(False))
+    new = {name: F.when(hit, value).otherwise(F.col(name)) for name, value in values.items()}
+    return table.withColumns({**new, "changed": hit})
+
+
+def delete(table: DataFrame, where: Column) -> DataFrame:
+    return table.where(~F.coalesce(where, F.lit(False)))
+
+
+def set_answers(table: DataFrame, answers: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A new snapshot with answers set, null clearing one, and `outcome`. All or nothing: an answer to a key that isn't there ends the job."""
+    a = answers.select(*keys, F.col(value).alias("_new"), F.lit(True).alias("_a"))
+    out = table.withColumn("_t", F.lit(True)).join(a, keys, "full_outer")
+    name = F.concat(F.lit("no such unit: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    outcome = F.when(F.col("_t").isNull(), F.raise_error(name).cast("string")).when(F.col("_a").isNull(), "kept").when(F.col("_new").isNull(), "cleared").otherwise("set")
+    out = out.withColumn("outcome", outcome).withColumn(value, F.when(F.col("_a").isNull(), F.col(value)).otherwise(F.col("_new")))
+    return out.drop("_new", "_a", "_t")

@@ -176,3 +176,42 @@ def explode_literals(docs: DataFrame, key: str, body: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string()))], [key, "place", "kind", "text"])
 
     return docs.select(key, body).mapInArrow(run, f"{key} {kind}, place int, kind string, text string")
+
+
+# -- system files and event lists
+
+#: Where a system file holds texts.
+SYSTEM_TEXTS = ["gameTitle", "currencyUnit"]
+SYSTEM_LISTS = ["terms.basic", "terms.commands", "terms.params", "elements", "skillTypes", "weaponTypes", "armorTypes", "equipTypes"]
+SYSTEM_MAP = "terms.messages"
+FIELDS = "array<struct<field:string,text:string>>"
+
+
+def system_texts(bodies: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    """(key, field, text): scalars, list elements and the open set of messages of system files; blank ones and nulls are left out."""
+    at = lambda path: F.get_json_object(body, f"$.{path}")
+    field = lambda name, text: F.struct(name.alias("field"), text.alias("text"))
+    listed = lambda n: F.transform(F.from_json(at(n), "array<string>"), lambda x, i: field(F.concat(F.lit(f"{n}["), i.cast("string"), F.lit("]")), x))
+    parts = [F.array(*(field(F.lit(n), at(n)) for n in SYSTEM_TEXTS)), *map(listed, SYSTEM_LISTS)]
+    parts.append(F.transform(F.map_entries(F.from_json(at(SYSTEM_MAP), "map<string,string>")), lambda e: field(F.concat(F.lit(f"{SYSTEM_MAP}."), e.key), e.value)))
+    found = F.concat(*(F.coalesce(p.cast(FIELDS), F.array().cast(FIELDS)) for p in parts))
+    return bodies.select(*key, F.inline(found)).where(F.trim("text") != "")
+
+
+def map_names(bodies: DataFrame, key: list[str], body: str = "body") -> DataFrame:
+    return bodies.select(*key, F.get_json_object(body, "$.displayName").alias("text")).where(F.trim("text") != "")
+
+
+PAGES = "array<struct<pages:array<struct<list:string>>>>"
+
+
+def event_lists(bodies: DataFrame, key: list[str], kind: str, body: str = "body") -> DataFrame:
+    """(key, event, page, list): the command lists of maps, common events (their page is null) or troops, as JSON text; null rows are passed over."""
+    if kind == "common":
+        rows = bodies.select(*key, F.posexplode(F.from_json(body, "array<struct<list:string>>")).alias("event", "e"))
+        return rows.select(*key, "event", F.lit(None).cast("int").alias("page"), "e.list").where("list is not null")
+    if kind not in ("map", "troop"):
+        raise ValueError(f"no event document {kind}")
+    whole = F.from_json(F.get_json_object(body, "$.events") if kind == "map" else F.col(body), PAGES)
+    rows = bodies.select(*key, F.posexplode(whole).alias("event", "e")).select(*key, "event", F.posexplode("e.pages").alias("page", "p"))
+    return rows.select(*key, "event", "page", "p.list").where("list is not null")

@@ -25,10 +25,11 @@ def publish(df: DataFrame, root: str, format: str = "parquet") -> str:
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"could not publish {version}")
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(fresh, pointer, over)
     return version
 
 
@@ -67,3 +68,22 @@ class RunLog:
             f.write(json.dumps(record, ensure_ascii=False) + "\n")
         self.sequence += 1
         self.closed = terminal
+
+
+OWNED = ("groups", "units", "rejected", "claims")
+
+
+def publish_owned(tables: dict[str, DataFrame], root: str) -> None:
+    """The tables of a snapshot, each in folders by owner."""
+    for name in OWNED:
+        tables[name].write.mode("overwrite").partitionBy("owner").parquet(f"{root}/{name}")
+
+
+def owned(spark: SparkSession, root: str, owner: str) -> dict[str, DataFrame]:
+    """The tables of one owner; only that owner's folders are read."""
+    return {name: spark.read.parquet(f"{root}/{name}").where(F.col("owner") == owner) for name in OWNED}
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows added in bulk; a failed job adds none."""
+    df.write.mode("append").parquet(path)
