@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,42 @@ def test_wrap():
     assert layout.wrap("one two three four", 9) == "one two\nthree\nfour" or max(map(len, layout.wrap("one two three four", 9).split("\n"))) <= 9
     assert layout.wrap("unbreakable", 4) == "unbreakable"
     assert layout.wrap("漢字漢字", 4) == "漢字\n漢字"
+
+
+def wrapped_by_force(text, most):
+    """The first of the best choices, from the end, over all places where the line may be broken."""
+    width = lambda x: sum(map(layout.char_width, x))
+    if width(text) <= most:
+        return text
+    wide = lambda c: layout.char_width(c) == 2
+    safe = lambda a, b: b not in layout.AFTER and b != " " and (a == " " or a in layout.AFTER or (wide(a) and wide(b)))
+    points = [0, *(i for i in range(1, len(text)) if safe(text[i - 1], text[i])), len(text)]
+    best = {len(points) - 1: (0, 0, [])}
+    for i in range(len(points) - 2, -1, -1):
+        for j in range(i + 1, len(points)):
+            part = text[points[i] : points[j]].strip(" ")
+            if width(part) <= most and j in best:
+                option = (best[j][0] + 1, best[j][1] + (0 if j == len(points) - 1 else (most - width(part)) ** 2), [part, *best[j][2]])
+                if i not in best or option[:2] < best[i][:2]:
+                    best[i] = option
+    return "\n".join(best[0][2]) if 0 in best else text
+
+
+def test_wrap_by_force(monkeypatch):
+    r = random.Random(4)
+    for n in range(400):
+        monkeypatch.setattr(layout, "SLICE", r.choice([1, 20, 1 << 20]))
+        texts = ["".join(r.choice("ab c  d,.! 漢字。「」(\t\r\x00é\n ") for _ in range(r.randint(0, 50))) for _ in range(4)]
+        most = r.choice([1, 2, 3, 5, 8, 13])
+        assert layout.wrap_texts(texts, most) == ["\n".join(wrapped_by_force(x, most) for x in t.split("\n")) for t in texts]
+
+
+def test_wrap_looks_at_a_character_once(monkeypatch):
+    asked, width = [], layout.char_width
+    monkeypatch.setattr(layout, "char_width", lambda c: asked.append(c) or width(c))
+    text = " ".join(["wort", "mot", "漢字"] * 3000)
+    assert max(len(x) for x in layout.wrap(text, 60).split("\n")) <= 60
+    assert len(asked) <= len(set(text))
     assert layout.open_pairs(["(a", "b)", "]"]) == [1, 0, 0]
 
 
