@@ -2,8 +2,8 @@
 
 * Features: every word of the benchmark items is a feature of its own, all other words share HASHED
   buckets. Inverse document frequencies come from all documents.
-* Latent space: a randomised SVD, one pass for each power step over the TF-IDF passages of a bounded
-  sample of documents (SAMPLE rows with the smallest hashes) together with the items, which weigh ITEM_WEIGHT.
+* Latent space: a randomised SVD, one pass for each power step over the TF-IDF passages of all documents, which together
+  weigh as WEIGHED documents at most, and the items, which weigh ITEM_WEIGHT each. Words are read once and kept as feature numbers.
 * Bound: a text is cut into overlapping parts, so that any place where an item is looked for lies in one of them whole. A part can
   only hold items of which it has LIKELY of the words, in whatever order. That is counted first for all parts and
   items, then again for smaller parts near an item's length, with its answer, and loses nothing, as the checks below ask for more.
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +38,19 @@ PUNCTUATION = b".,;:!?*%$&#()[]{}<>\"'-"
 LOWER = bytes(range(256)).lower()
 HASHED = 4096
 RANK, EXTRA, POWER = 96, 16, 1
-SAMPLE, SAMPLE_BYTES = 3000, 20_000
+WEIGHED = 3000
+PASSAGE = 40
 ITEM_WEIGHT = 30.0
 BLOCK = 8
 COSINE = 0.5
 SURE, LIKELY, ANSWER = 0.8, 0.5, 6
 MOST_ITEMS = 2000
 HELD = 0.5
+#: Rows of the thin matrix that are summed as one, and rows whose weighted sums are taken at once.
+ROWS, TOGETHER = 256, 8
 #: Words that most items hold, in a table.
 COMMON = 64
-#: Words that are searched at once for an item.
+#: Words that are searched at once for an item, and passages that are multiplied at once.
 LONGEST = 2048
 SLICE = 256 << 10
 
@@ -67,6 +71,11 @@ class Features:
     def size(self) -> int:
         return HASHED + len(self.own)
 
+    @property
+    def kind(self) -> type:
+        """In which its numbers are kept."""
+        return np.uint16 if self.size <= 1 << 16 else np.uint32
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
         out = (h % np.uint64(HASHED)).astype(np.int64)
         if len(self.own):
@@ -80,78 +89,135 @@ class Features:
         return np.split(self(h)[at], ends[1:-1])
 
 
-def document_frequencies(docs: DataFrame, features: Features) -> np.ndarray:
-    """In how many documents each feature occurs, and last the number of documents."""
+def feature_numbers(docs: DataFrame, features: Features) -> DataFrame:
+    """(words): the feature numbers of each document's words, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(features.size + 1, np.int64)
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in slices(batch, texts, SLICE):
-                own = features.read(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(features.kind).tobytes() for x in features.read(texts[a:b])], pa.binary())], ["words"])
+
+    return docs.select("text").mapInArrow(trimmed(run), "words binary")
+
+
+def _numbers(batch: pa.RecordBatch, features: Features) -> Iterator[list[np.ndarray]]:
+    """The feature numbers of a batch's documents, some at a time."""
+    texts = batch.column(0).to_pylist()
+    for a, b in slices(batch, texts, SLICE):
+        yield [np.frombuffer(x, features.kind).astype(np.int64) for x in texts[a:b]]
+
+
+def document_frequencies(words: DataFrame, features: Features) -> np.ndarray:
+    """In how many documents each feature occurs, and last the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(features.size + 1, np.int64)
+        for batch in batches:
+            for own in _numbers(batch, features):
                 for c in range(0, len(own), 128):
                     held = np.zeros((128, features.size), bool)
                     for row, x in zip(held, own[c : c + 128]):
                         row[x] = True
                     counts[:-1] += held.sum(axis=0)
-                counts[-1] += b - a
+                counts[-1] += len(own)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["feature", "n"])
 
     out = np.zeros(features.size + 1)
-    for r in docs.select("text").mapInArrow(trimmed(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInArrow(trimmed(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r.feature] = r.n
     return out
 
 
-def _passages(at: np.ndarray, length: int = 40) -> list[np.ndarray]:
-    return [at[i : i + length] for i in range(0, max(1, len(at) - length // 2), length)] if len(at) else []
-
-
-def _multiply(passages: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Adds A'A basis to out, for the rows of A, the TF-IDF vectors of the passages scaled to length 1."""
-    for p in passages:
-        f, tf = np.unique(p, return_counts=True)
-        x = tf * idf[f]
-        if (norm := np.sqrt((x * x).sum())) > 0:
-            x = (x / norm).astype(basis.dtype)
-            out[f] += np.outer(x, x @ basis[f])
+def _sums(table: np.ndarray, at: np.ndarray, weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For runs of `size`, end to end, the sums of the table's rows `at` times their weights."""
+    n = -(-size // TOGETHER)
+    place = np.arange(len(at)) + np.repeat((np.cumsum(n) - n) * TOGETHER - (np.cumsum(size) - size), size)
+    rows, weights = np.zeros(n.sum() * TOGETHER, np.int64), np.zeros(n.sum() * TOGETHER, np.float32)
+    rows[place], weights[place] = at, weight
+    rows, weights = rows.reshape(-1, TOGETHER), weights.reshape(-1, 1, TOGETHER)
+    out = np.empty((len(rows), table.shape[1]), np.float32)
+    for a in range(0, len(out), 256):
+        out[a : a + 256] = (weights[a : a + 256] @ table[rows[a : a + 256]])[:, 0]
+    return np.add.reduceat(out, np.cumsum(n) - n, axis=0)
+
+
+def _multiply(words: np.ndarray, size: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'A basis to out, for the rows of A, the TF-IDF vectors of passages of `size` words, end to end, scaled to length 1."""
+    size = size[size > 0]
+    if not len(size):
+        return
+    term, tf = np.unique(np.repeat(np.arange(len(size)), size) << 32 | words, return_counts=True)
+    passage, feature = term >> 32, term & 0xFFFFFFFF
+    runs = lambda x: np.flatnonzero(np.append(True, np.diff(x) > 0))
+    lengths = lambda first, n: np.diff(np.append(first, n))
+    first = runs(passage)
+    x = tf * idf[feature]
+    x = (x / np.maximum(np.sqrt(np.add.reduceat(x * x, first)), 1e-30)[passage]).astype(basis.dtype)
+    along = _sums(basis, feature, x, lengths(first, len(x)))
+    by = np.argsort(feature, kind="stable")
+    first = runs(feature[by])
+    out[feature[by][first]] += _sums(along, passage[by], x[by], lengths(first, len(x)))
+
+
+def _passages(lengths: np.ndarray) -> np.ndarray:
+    """The sizes of the texts' passages: PASSAGE words, and what remains at a text's end, with the passage before it where it is short."""
+    n = np.where(lengths > 0, np.maximum(1, (lengths + PASSAGE // 2 - 1) // PASSAGE), 0)
+    out = np.full(n.sum(), PASSAGE, np.int64)
+    out[np.cumsum(n)[n > 0] - 1] = (lengths - (n - 1) * PASSAGE)[n > 0]
     return out
 
 
-def latent_space(docs: DataFrame, items: list[np.ndarray], features: Features, idf: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the passages, features by rank, by randomised subspace steps.
+def latent_space(words: DataFrame, items: list[np.ndarray], features: Features, idf: np.ndarray, weight: float) -> np.ndarray:
+    """Leading right singular vectors of the passages, features by rank, by randomised subspace steps. words: feature_numbers of all documents.
 
-    A step multiplies on the executors; each task sends back its part of one thin matrix.
+    A step multiplies on the executors. Each task sends its part of one thin matrix in blocks of rows to those that sum them, in the
+    order of the tasks. The last product gives the vectors, too: for its basis Q, A'A is taken for (A'A Q) (Q'A'A Q)^-1 (A'A Q)'.
     """
-    spark = docs.sparkSession
-    ids = docs.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = docs.select("text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = sample.where(F.xxhash64("text") <= F.lit(ids if ids is not None else 0)).dropDuplicates(["text"]).coalesce(4)
-    scratch = Scratch(spark, "svd")
-    sample = scratch.put(sample, "sample")
+    spark = words.sparkSession
     rank = min(RANK + EXTRA, features.size)
     basis = np.linalg.qr(np.random.default_rng(5).standard_normal((features.size, rank)))[0].astype(np.float32)
-    for step in range(POWER + 2):
+    flat, size = np.concatenate(items), np.array([len(x) for x in items])
+    names = ["block", "task", "part"]
+    for step in range(POWER + 1):
         sent = spark.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(sent.value)
+            total = np.zeros(sent.value.shape)
             for batch in batches:
-                for x in features.read(utf8(batch.column(0))):
-                    _multiply(_passages(x), idf, sent.value, total)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-        product = ITEM_WEIGHT**2 * _multiply(items, idf, basis, np.zeros_like(basis))
-        for r in sample.mapInArrow(trimmed(run), "part binary").toLocalIterator():
-            product = product + np.frombuffer(r.part, np.float32).reshape(basis.shape)
+                for own in _numbers(batch, features):
+                    flat, size = np.concatenate(own), _passages(np.array([len(x) for x in own]))
+                    ends = np.append(0, np.cumsum(size))
+                    for a in range(0, len(size), LONGEST):
+                        some = size[a : a + LONGEST]
+                        _multiply(flat[ends[a] : ends[a + len(some)]], some, idf, sent.value, total)
+            parts = [total[a : a + ROWS] for a in range(0, len(total), ROWS)]
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, part in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    totals[k] = totals.get(k, 0) + np.frombuffer(part.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.nulls(len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names)
+
+        parts = words.mapInArrow(trimmed(run), "block int, task int, part binary").repartition("block").sortWithinPartitions("block", "task")
+        product = np.zeros(basis.shape)
+        for r in parts.mapInArrow(trimmed(added), "block int, task int, part binary").collect():
+            product[r.block * ROWS : (r.block + 1) * ROWS] = np.frombuffer(r.part).reshape(-1, rank)
+        product *= weight
         sent.unpersist()
-        if step < POWER + 1:
-            basis = np.linalg.qr(product.astype(np.float64))[0].astype(np.float32)
-    scratch.drop("sample")
-    values, vectors = np.linalg.eigh((basis.T @ product).astype(np.float64))
-    top = np.argsort(values)[::-1][: min(RANK, rank)]
-    return (basis @ vectors[:, top]).astype(np.float32)
+        own = np.zeros(basis.shape)
+        _multiply(flat, size, idf, basis, own)
+        product += ITEM_WEIGHT**2 * own
+        if step < POWER:
+            basis = np.linalg.qr(product)[0].astype(np.float32)
+    values, vectors = np.linalg.eigh((m := basis.T @ product) + m.T)
+    some = values > 1e-9 * max(values.max(), 1e-300)
+    left, _, _ = np.linalg.svd(product @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)
+    return left[:, : min(RANK, rank)].astype(np.float32)
 
 
 def _stretch(length: int) -> int:
@@ -355,10 +421,14 @@ def build(docs: DataFrame, ids: list[int], texts: list[bytes], frequencies: np.n
     keep = [i for i, w in enumerate(words) if len(w)]
     ids, words = [ids[i] for i in keep], [words[i] for i in keep]
     features = Features(np.unique(h[number]))
-    counts = document_frequencies(docs, features)
+    scratch = Scratch(docs.sparkSession, "words")
+    written = scratch.put(feature_numbers(docs, features), "words")
+    counts = document_frequencies(written, features)
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)).astype(np.float32) + 0.1
     at = [features(w) for w in words]
-    vectors = latent_space(docs, at, features, idf) * idf[:, None] if words else np.zeros((features.size, 1), np.float32)
+    weight = min(1, WEIGHED / max(1, counts[-1]))
+    vectors = latent_space(written, at, features, idf, weight) * idf[:, None] if words else np.zeros((features.size, 1), np.float32)
+    scratch.drop("words")
     latent = np.array([vectors[a].sum(axis=0) for a in at], np.float32).reshape(len(at), vectors.shape[1])
     lengths = np.array([np.linalg.norm(np.bincount(a, idf[a])) for a in at])
     held = np.linalg.norm(latent, axis=1) / np.maximum(lengths, 1e-9)

@@ -389,6 +389,29 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty(spark), bench).count() == 0
 
 
+def test_latent_space_of_all_documents(spark, monkeypatch):
+    """The space holds nearly as much of all documents' passages, those of long texts too, as the best one does."""
+    r, v = random.Random(8), vocabulary(300)
+    rows = [(i, " ".join(r.choice(v[i % 20 :: 20]) for _ in range(r.randint(0, 150)))) for i in range(80)]
+    rows += [(80, " ".join(r.choice(v[20:26]) * 3 for _ in range(6000))), (81, None)]
+    texts = [(t or "").encode() for _, t in rows]
+    items = [" ".join(r.choice(v) for _ in range(30)).encode() for _ in range(8)]
+    monkeypatch.setattr(decontam, "RANK", 12)
+    features = decontam.Features(np.unique(decontam.hashes(items)[1]))
+    at, own = features.read(items), features.read(texts)
+    idf = np.linspace(0.5, 2, features.size).astype(np.float32)
+    space = decontam.latent_space(decontam.feature_numbers(table(spark, rows).repartition(3), features), at, features, idf, 0.5)
+    passages = []
+    for weight, words in [(decontam.ITEM_WEIGHT**2, x) for x in at] + [(0.5, x) for x in own]:
+        cuts = [0] if weight > 1 else range(0, max(1, len(words) - 20), 40)
+        for a, b in zip(cuts, [*cuts[1:], len(words)]):
+            x = np.bincount(words[a:b], minlength=features.size) * idf
+            if n := np.linalg.norm(x):
+                passages.append(np.sqrt(weight) * x / n)
+    best = np.square(np.linalg.svd(np.array(passages), compute_uv=False)[:12]).sum()
+    assert np.allclose(space.T @ space, np.eye(12), atol=1e-3) and np.square(np.array(passages) @ space).sum() >= 0.97 * best
+
+
 def test_decontamination_many_items(spark):
     """Over 1000 items of more topics than ranks, and some that have no words in common with others."""
     r = random.Random(12)
