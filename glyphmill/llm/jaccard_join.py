@@ -224,7 +224,8 @@ def groups_of_lists(lists: DataFrame, percent: int) -> DataFrame:
         pivots, prints = [], []
         for m in np.unique(length[length > 1]).tolist():
             lists_ = start[length == m]
-            for a in range(0, len(lists_), step := max(1, (1 << 20) // (m * m))):
+            # Lists longer than a block are taken one by one.
+            for a in range(0, len(lists_), step := max(1, (1 << 20) // (m * m)) if m <= BLOCK else 1):
                 at = lists_[a : a + step, None] + np.arange(m)
                 keep = partners(n[at], p[at], percent) if m <= BLOCK else partners_by_block(n[at[0]], p[at[0]], percent)[None]
                 own = np.where(keep, fp[at], np.iinfo(np.int64).max)

@@ -267,6 +267,23 @@ def test_jaccard_groups(spark, monkeypatch, small):
     assert got == jaccard_by_pairs(rows)
 
 
+def test_jaccard_long_lists_of_equal_length(spark):
+    """Several lists of one length, longer than a block, in one Arrow batch."""
+    r, rows = np.random.default_rng(7), []
+    for token in range(5):
+        n = np.sort(r.integers(8, 400, 300))
+        place = np.sort(n << 28 | r.integers(0, 1 + n // 5))
+        rows += [(token, int(fp), int(x)) for fp, x in zip(r.permutation(300) + 1000 * token, place)]
+    lists = spark.createDataFrame(rows, "token long, fp long, place long").coalesce(1).sortWithinPartitions("token", "place")
+    expected = set()
+    for token in range(5):
+        fp, place = np.array([x[1:] for x in rows if x[0] == token]).T
+        kept = fp[jaccard_join.partners((place >> 28)[None], (place & ((1 << 28) - 1))[None], 80)[0]]
+        assert 0 < len(kept)
+        expected |= {(int(kept.min()), int(x)) for x in kept}
+    assert {(x.pivot, x.fp) for x in jaccard_join.groups_of_lists(lists, 80).collect()} == expected
+
+
 def test_jaccard_extra_columns(spark):
     rows = [(i, t) for i, t in enumerate(near_copies(5, 12, 1))]
     docs = table(spark, rows).selectExpr("*", "doc_id as id", "1 as own", "2 as _own_first", "3 as component_id")
