@@ -48,6 +48,8 @@ MOST_ITEMS = 2000
 HELD = 0.5
 #: Rows of the thin matrix that are summed as one, and rows whose weighted sums are taken at once.
 ROWS, TOGETHER = 256, 8
+#: Of so many features, the most frequent ones, passages are multiplied as whole columns.
+COLUMNS = 256
 #: Words that most items hold, in a table.
 COMMON = 64
 #: Words that are searched at once for an item, and passages that are multiplied at once.
@@ -90,21 +92,21 @@ class Features:
 
 
 def feature_numbers(docs: DataFrame, features: Features) -> DataFrame:
-    """(words): the feature numbers of each document's words, as bytes."""
+    """(words, doc_id): the feature numbers of each document's words, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in slices(batch, texts, SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(features.kind).tobytes() for x in features.read(texts[a:b])], pa.binary())], ["words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype(features.kind).tobytes() for x in features.read(texts[a:b])], pa.binary()), batch.column(1).slice(a, b - a)], ["words", "doc_id"])
 
-    return docs.select("text").mapInArrow(trimmed(run), "words binary")
+    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(trimmed(run), "words binary, doc_id long")
 
 
-def _numbers(batch: pa.RecordBatch, features: Features) -> Iterator[list[np.ndarray]]:
-    """The feature numbers of a batch's documents, some at a time."""
+def _numbers(batch: pa.RecordBatch, features: Features, size: int = SLICE) -> Iterator[list[np.ndarray]]:
+    """The feature numbers of a batch's documents, those of about `size` bytes at a time."""
     texts = batch.column(0).to_pylist()
-    for a, b in slices(batch, texts, SLICE):
+    for a, b in slices(batch, texts, size):
         yield [np.frombuffer(x, features.kind).astype(np.int64) for x in texts[a:b]]
 
 
@@ -125,7 +127,7 @@ def document_frequencies(words: DataFrame, features: Features) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["feature", "n"])
 
     out = np.zeros(features.size + 1)
-    for r in words.mapInArrow(trimmed(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("words").mapInArrow(trimmed(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r.feature] = r.n
     return out
 
@@ -136,15 +138,25 @@ def _sums(table: np.ndarray, at: np.ndarray, weight: np.ndarray, size: np.ndarra
     place = np.arange(len(at)) + np.repeat((np.cumsum(n) - n) * TOGETHER - (np.cumsum(size) - size), size)
     rows, weights = np.zeros(n.sum() * TOGETHER, np.int64), np.zeros(n.sum() * TOGETHER, np.float32)
     rows[place], weights[place] = at, weight
-    rows, weights = rows.reshape(-1, TOGETHER), weights.reshape(-1, 1, TOGETHER)
-    out = np.empty((len(rows), table.shape[1]), np.float32)
-    for a in range(0, len(out), 256):
-        out[a : a + 256] = (weights[a : a + 256] @ table[rows[a : a + 256]])[:, 0]
-    return np.add.reduceat(out, np.cumsum(n) - n, axis=0)
+    weights = weights.reshape(-1, 1, TOGETHER)
+    parts = np.empty((len(weights), table.shape[1]), np.float32)
+    for a in range(0, len(parts), 256):
+        own = weights[a : a + 256]
+        taken = np.take(table, rows[a * TOGETHER : (a + 256) * TOGETHER], axis=0, mode="clip").reshape(len(own), TOGETHER, -1)
+        np.matmul(own, taken, out=parts[a : a + 256, None])
+    first = np.cumsum(n) - n
+    out = parts[first]
+    for k in range(1, int(n.max(initial=1))):
+        more = np.flatnonzero(n > k)
+        out[more] += parts[first[more] + k]
+    return out
 
 
 def _multiply(words: np.ndarray, size: np.ndarray, idf: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
-    """Adds A'A basis to out, for the rows of A, the TF-IDF vectors of passages of `size` words, end to end, scaled to length 1."""
+    """Adds A'A basis to out, for the rows of A, the TF-IDF vectors of passages of `size` words, end to end, scaled to length 1.
+
+    The most frequent features, those with the smallest idf, are multiplied as whole columns, the others one by one.
+    """
     size = size[size > 0]
     if not len(size):
         return
@@ -155,10 +167,22 @@ def _multiply(words: np.ndarray, size: np.ndarray, idf: np.ndarray, basis: np.nd
     first = runs(passage)
     x = tf * idf[feature]
     x = (x / np.maximum(np.sqrt(np.add.reduceat(x * x, first)), 1e-30)[passage]).astype(basis.dtype)
-    along = _sums(basis, feature, x, lengths(first, len(x)))
-    by = np.argsort(feature, kind="stable")
-    first = runs(feature[by])
-    out[feature[by][first]] += _sums(along, passage[by], x[by], lengths(first, len(x)))
+    often = np.argpartition(idf, min(COLUMNS, len(idf)) - 1)[:COLUMNS]
+    column = np.full(len(idf), -1)
+    column[often] = np.arange(len(often))
+    column = column[feature]
+    whole = column >= 0
+    held = np.zeros((len(size), len(often)), basis.dtype)
+    held[passage[whole], column[whole]] = x[whole]
+    along = held @ basis[often]
+    passage, feature, x = passage[~whole], feature[~whole], x[~whole]
+    if len(x):
+        first = runs(passage)
+        along[passage[first]] += _sums(basis, feature, x, lengths(first, len(x)))
+        by = np.argsort(feature, kind="stable")
+        first = runs(feature[by])
+        out[feature[by][first]] += _sums(along, passage[by], x[by], lengths(first, len(x)))
+    out[often] += held.T @ along
 
 
 def _passages(lengths: np.ndarray) -> np.ndarray:
@@ -203,7 +227,7 @@ def latent_space(words: DataFrame, items: list[np.ndarray], features: Features,
                     totals[k] = totals.get(k, 0) + np.frombuffer(part.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.nulls(len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names)
 
-        parts = words.mapInArrow(trimmed(run), "block int, task int, part binary").repartition("block").sortWithinPartitions("block", "task")
+        parts = words.select("words").mapInArrow(trimmed(run), "block int, task int, part binary").repartition("block").sortWithinPartitions("block", "task")
         product = np.zeros(basis.shape)
         for r in parts.mapInArrow(trimmed(added), "block int, task int, part binary").collect():
             product[r.block * ROWS : (r.block + 1) * ROWS] = np.frombuffer(r.part).reshape(-1, rank)
@@ -386,10 +410,9 @@ class Index:
             for cosine, a, b in self.search_words(numbers[t][x + s : x + s + 2 * int(self.stretch[k])], k):
                 yield t, k, cosine, x + s + a, x + s + b
 
-    def matches(self, texts: list[bytes]) -> list[list[tuple[int, float, float, bool, int, int]]]:
-        """For each text, (item_id, cosine, coverage, answer found, first and last word) of the items that it holds."""
-        best: list[dict[int, tuple]] = [{} for _ in texts]
-        numbers = self.features.read(texts)
+    def matches(self, numbers: list[np.ndarray]) -> list[list[tuple[int, float, float, bool, int, int]]]:
+        """For each text, given by its words' feature numbers, (item_id, cosine, coverage, answer found, first and last word) of the items that it holds."""
+        best: list[dict[int, tuple]] = [{} for _ in numbers]
         some = [i for i, x in enumerate(numbers) if len(x)]
         for t, k, cosine, a, b in self.found([numbers[i] for i in some]) if some and self.codes else ():
             words, item, found = numbers[some[t]], self.codes[k], best[some[t]]
@@ -415,7 +438,8 @@ class Index:
         return [list(x.values()) for x in best]
 
 
-def build(docs: DataFrame, ids: list[int], texts: list[bytes], frequencies: np.ndarray | None = None) -> Index:
+def build(docs: DataFrame, ids: list[int], texts: list[bytes]) -> tuple[Index, Scratch, DataFrame]:
+    """The index of items, and the scratch and table of the documents' feature_numbers, which the caller drops."""
     number, h, ends = hashes(texts)
     words = np.split(h[number], ends[1:-1]) if texts else []
     keep = [i for i, w in enumerate(words) if len(w)]
@@ -428,7 +452,6 @@ def build(docs: DataFrame, ids: list[int], texts: list[bytes], frequencies: np.n
     at = [features(w) for w in words]
     weight = min(1, WEIGHED / max(1, counts[-1]))
     vectors = latent_space(written, at, features, idf, weight) * idf[:, None] if words else np.zeros((features.size, 1), np.float32)
-    scratch.drop("words")
     latent = np.array([vectors[a].sum(axis=0) for a in at], np.float32).reshape(len(at), vectors.shape[1])
     lengths = np.array([np.linalg.norm(np.bincount(a, idf[a])) for a in at])
     held = np.linalg.norm(latent, axis=1) / np.maximum(lengths, 1e-9)
@@ -456,7 +479,8 @@ def build(docs: DataFrame, ids: list[int], texts: list[bytes], frequencies: np.n
     codes = [a.tolist() for a in at]
     length = np.array([len(w) for w in words], np.int64)
     stretch = np.array([_stretch(n) + 2 * BLOCK for n in length.tolist()], np.int64)
-    return Index(features, np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32), ids, latent, widths, held, codes, [places(c) for c in codes], common, table, first, holders[~known][by], times[~known][by], slots, *often, length, stretch)
+    index = Index(features, np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32), ids, latent, widths, held, codes, [places(c) for c in codes], common, table, first, holders[~known][by], times[~known][by], slots, *often, length, stretch)
+    return index, scratch, written
 
 
 def _groups(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -473,8 +497,8 @@ def _groups(benchmark: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
         yield ids, texts
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
-    """The indexes to search, with each item in one of them."""
+def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, Scratch, DataFrame]]:
+    """The indexes to search, with each item in one of them, and what build gives with them."""
     for ids, texts in _groups(benchmark):
         yield build(docs, ids, texts)
 
@@ -485,20 +509,20 @@ MATCHES = "doc_id long, item_id long, cosine double, coverage double, answer boo
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, coverage, answer, first_word, last_word): which documents hold which items."""
     out = None
-    for found in indexes(docs, benchmark):
+    for found, scratch, words in indexes(docs, benchmark):
         index = docs.sparkSession.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int32(), pa.int32()]
             for batch in batches:
-                texts = utf8(batch.column(1))
-                found = [x for a, b in slices(batch, texts, SLICE) for x in own.matches(texts[a:b])]
-                rows = [(doc, *m) for doc, x in zip(batch.column(0).to_pylist(), found) for m in x]
+                found = [x for some in _numbers(batch, own.features, SLICE // 4) for x in own.matches(some)]
+                rows = [(doc, *m) for doc, x in zip(batch.column(1).to_pylist(), found) for m in x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in MATCHES.split(", ")])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), MATCHES)
+        part = scratch.put(words.mapInArrow(trimmed(run), MATCHES), "matches")
+        scratch.drop("words")
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], MATCHES) if out is None else out
 
@@ -506,13 +530,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold a benchmark item; rows and columns are otherwise unchanged."""
     names = docs.columns
-    for found in indexes(docs, benchmark):
+    for found, scratch, _ in indexes(docs, benchmark):
+        scratch.drop("words")
         index = docs.sparkSession.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = index.value
             for batch in batches:
                 texts = utf8(batch.column(names.index("text")))
-                yield batch.filter(pa.array([not x for a, b in slices(batch, texts, SLICE) for x in index.value.matches(texts[a:b])], pa.bool_()))
+                yield batch.filter(pa.array([not x for a, b in slices(batch, texts, SLICE) for x in own.matches(own.features.read(texts[a:b]))], pa.bool_()))
 
         docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -429,6 +430,30 @@ def test_latent_space_of_all_documents(spark, monkeypatch):
     assert np.allclose(space.T @ space, np.eye(12), atol=1e-3) and np.square(np.array(passages) @ space).sum() >= 0.97 * best
 
 
+def test_products_of_passages():
+    """Frequent features, as columns, and the others give the product of the whole matrix."""
+    r = np.random.default_rng(9)
+    size = r.integers(0, 60, 300)
+    words = np.minimum(r.geometric(0.01, size.sum()) - 1, 899)
+    idf, basis = np.linspace(0.1, 5, 900).astype(np.float32), r.standard_normal((900, 7)).astype(np.float32)
+    rows = np.array([np.bincount(x, minlength=900) * idf for x in np.split(words, np.cumsum(size)[:-1]) if len(x)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    out = np.ones(basis.shape)
+    decontam._multiply(words, size, idf, basis, out)
+    assert np.allclose(out - 1, rows.T @ (rows @ basis), atol=1e-4)
+
+
+def test_decontamination_reads_words_once(spark):
+    """The search takes the words that the latent space was fitted on; they are dropped at its end."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(4)]
+    bench = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    got = decontam.contaminated(table(spark, rows), bench)
+    assert [(x.doc_id, x.item_id) for x in got.collect()] == [(2, 1)]
+    files = got.inputFiles()
+    assert files and all("/matches/" in x for x in files)
+    assert not os.path.exists(files[0].removeprefix("file://").split("/matches/")[0] + "/words")
+
+
 def test_decontamination_many_items(spark):
     """Over 1000 items of more topics than ranks, and some that have no words in common with others."""
     r = random.Random(12)
