@@ -11,10 +11,12 @@ A word's probability from its ids is that of its first id among those that can b
 times that of the word's end, which is that some id that begins a word, or the text's end, comes next. So the words' probabilities add up
 to 1 at most. It is mixed with the word's share among all training tokens, which counts every word, however rare.
 
-Counts of words, ids and neighbouring ids come from every training document; so do the classes, and the
-distributions within classes. Only the PAIRS most frequent neighbours have a probability of their own. The layer's weights and the
-mixtures are fitted on a sample that grows with the cube root of the number of training texts (`sample_size`; texts of at most SAMPLE_BYTES,
-those with the smallest hashes of doc_id). Windows overlap and each token is scored once, with at least
+Counts of words, ids and neighbouring ids come from every training document; so do the classes, the
+distributions within classes, the layer's weights and the mixtures. Only the PAIRS most frequent neighbours have a probability of their own.
+The layer is trained once on every window of every training text, in ROUNDS: each task steps through its texts from common
+weights, and the tasks' weights are averaged by their windows before the next round. What the layer gave for each window before it
+stepped on it, and the counts without the token itself, give the mixtures, by one histogram of ratios over all
+training tokens each. Windows overlap and each token is scored once, with at least
 WINDOW - STRIDE tokens before it where the text has them.
 
 The base score is that of single words with one added to each count. Frequent words, a bounded number, are
@@ -29,18 +31,19 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm.common import Scratch, crc_of_id, distinct_words, runs
+from glyphmill.llm.common import Scratch, crc_of_id, distinct_words, runs, trimmed
 
 END = 50256
 IDS = END + 1
@@ -48,8 +51,13 @@ TOP = 3000  # ids with a vector and a class of their own choice
 CLASSES, RARE = 44, 4
 WIDTH, HIDDEN = 16, 32
 WINDOW, STRIDE = 32, 24
-SAMPLE, SAMPLE_BYTES = 20, 20_000
-PASSES, BATCH, RATE = 2, 64, 0.01
+#: Of 16 parts of the training texts, the first one of each round, and the rates of their steps.
+ROUNDS = ((0, 0.01), (1, 0.005), (4, 0.0025), (16, 0))
+#: Windows of a step, and of the first steps of a task.
+BATCH, FIRST_BATCH, FIRST_STEPS = 128, 32, 500
+#: Bins of a histogram of ratios, and how many of them double the ratio.
+BINS, DOUBLED = 4096, 32
+PART = 4096
 DISCOUNT = 0.75
 PAIRS = 1 << 20
 HEAD = 1 << 19
@@ -59,10 +67,6 @@ RUN = 8 << 20
 MOST_CACHED = 1_200_000
 
 
-def sample_size(documents: int) -> int:
-    return int(300 + SAMPLE * documents ** (1 / 3))
-
-
 def plain(column: pa.Array) -> tuple[pa.Array, list[int]]:
     """The texts, null as empty, and their lengths in bytes."""
     texts = pc.fill_null(column, "")
@@ -257,9 +261,18 @@ def _classes(c: Counts) -> tuple[np.ndarray, np.ndarray]:
     return cls, np.where(place < TOP, place, TOP + cls)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _softmax(x: np.ndarray, tame: bool) -> np.ndarray:
+    """In place. tame: exponents need not be made smaller first."""
+    if not tame:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x @ np.ones((x.shape[-1], 1), x.dtype)
+    return x
+
+
+def _length(x: np.ndarray) -> float:
+    """That of the longest row."""
+    return float(np.sqrt(np.square(x).sum(axis=-1)).max())
 
 
 class Attention:
@@ -279,50 +292,65 @@ class Attention:
     def forward(self, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Class logits of the last STRIDE places of each window. rows: the id before each place; valid: inside the text."""
         p = self.p
-        x = p["e"][rows]
+        x = np.take(p["e"], rows, axis=0, mode="clip")
         xs = np.ascontiguousarray(x[:, -STRIDE:])
         q, k, v = (y.reshape(-1, WIDTH) @ p[w] for y, w in ((xs, "q"), (x, "k"), (x, "v")))
         q, k, v = q.reshape(xs.shape), k.reshape(x.shape), v.reshape(x.shape)
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + p["d"][self.away]
-        s[:, self.future] = -1e9
-        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        w = _softmax(s)
+        q *= np.float32(WIDTH**-0.5)
+        s = q @ k.transpose(0, 2, 1)
+        s += np.where(self.future, np.float32(-1e9), p["d"][self.away])
+        if not valid.all():
+            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+        w = _softmax(s, _length(q) * _length(k) + float(np.abs(p["d"]).max()) < 80)  # every place sees one of the text's at least
         o = w @ v
-        h = xs.reshape(-1, WIDTH) @ p["a"] + o.reshape(-1, WIDTH) @ p["o"] + p["b"]
+        h = xs.reshape(-1, WIDTH) @ p["a"]
+        h += o.reshape(-1, WIDTH) @ p["o"]
+        h += p["b"]
         h /= 1 + np.abs(h)
-        return h @ p["u"] + p["c"], (x, xs, q, k, v, w, o, h)
+        logits = h @ p["u"]
+        logits += p["c"]
+        return logits, (x, xs, q, k, v, w, o, h)
 
-    def step(self, rows, valid, goal, state, t) -> None:
-        """One Adam step on the class of each scored place; goal is -1 outside the text."""
+    def step(self, rows, valid, goal, begins, rate, state, t) -> tuple[np.ndarray, np.ndarray]:
+        """One Adam step on the class of each scored place; goal is -1 outside the text.
+
+        What it gave before, for the places inside: the probability of the goal, and that of an id that begins a word.
+        """
         p = self.p
         logits, (x, xs, q, k, v, w, o, h) = self.forward(rows, valid)
-        g = _softmax(logits)
+        g = _softmax(logits, float((np.abs(p["u"]).sum(axis=0) + np.abs(p["c"])).max()) < 80)
         goal = goal.reshape(-1)
-        inside = goal >= 0
-        g[np.flatnonzero(inside), goal[inside]] -= 1
-        g[~inside] = 0
-        g /= max(1, inside.sum())
+        inside = np.flatnonzero(goal >= 0)
+        given = g[inside, goal[inside]], (g @ begins)[inside]
+        g[inside, goal[inside]] -= 1
+        if len(inside) < len(g):
+            g[goal < 0] = 0
+        g *= np.float32(1 / max(1, len(inside)))
         flat = lambda y: y.reshape(-1, y.shape[-1])
         d = {"u": h.T @ g, "c": g.sum(axis=0)}
-        dh = (g @ p["u"].T) * np.square(1 - np.abs(h))
+        dh = g @ p["u"].T
+        dh *= np.square(1 - np.abs(h))
         d |= {"a": flat(xs).T @ dh, "o": flat(o).T @ dh, "b": dh.sum(axis=0)}
         do = (dh @ p["o"].T).reshape(o.shape)
-        dw = do @ v.transpose(0, 2, 1)
+        ds = do @ v.transpose(0, 2, 1)
         dv = w.transpose(0, 2, 1) @ do
-        ds = w * (dw - (dw * w).sum(axis=-1, keepdims=True))
+        # The sum of weights times their gradients is that of the output times its own.
+        ds -= np.einsum("ijk,ijk->ij", o, do)[:, :, None]
+        ds *= w
         d["d"] = np.bincount(self.away.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-        ds = ds * np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dq *= np.float32(WIDTH**-0.5)
         d |= {"q": flat(xs).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
         dx = (flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(x.shape)
         dx[:, -STRIDE:] += (dh @ p["a"].T + flat(dq) @ p["q"].T).reshape(xs.shape)
-        d["e"] = np.zeros_like(p["e"])
-        np.add.at(d["e"], rows.ravel(), flat(dx))
+        place = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        d["e"] = np.bincount(place.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
         for name, grad in d.items():
             m, s2 = state.setdefault(name, (np.zeros_like(grad), np.zeros_like(grad)))
-            m += 0.1 * (grad - m)
-            s2 += 0.02 * (grad * grad - s2)
-            p[name] -= (RATE * (m / (1 - 0.9**t)) / (np.sqrt(s2 / (1 - 0.98**t)) + 1e-7)).astype(np.float32)
+            m += np.float32(0.1) * (grad - m)
+            s2 += np.float32(0.02) * (grad * grad - s2)
+            p[name] -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s2 * np.float32(1 / (1 - 0.98**t))) + np.float32(1e-7))
+        return given
 
 
 class Tables:
@@ -336,8 +364,7 @@ class Tables:
         self.bias = np.where(net.future, np.float32(-1e9), p["d"][net.away])
         self.sums = np.stack([np.ones(len(begins)), begins], axis=1).astype(np.float32)
         # Bounds below which exponents need not be made smaller first.
-        length = lambda x: float(np.sqrt((x * x).sum(axis=1)).max())
-        self.tame = length(self.q) * length(self.k) + float(np.abs(p["d"]).max()) < 80, float((np.abs(self.u).sum(axis=0) + np.abs(self.c)).max()) < 80
+        self.tame = _length(self.q) * _length(self.k) + float(np.abs(p["d"]).max()) < 80, float((np.abs(self.u).sum(axis=0) + np.abs(self.c)).max()) < 80
 
     def __call__(self, rows: np.ndarray, valid: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the last STRIDE places of each window the probability of the goal's class, and that of an id that begins a word."""
@@ -427,37 +454,55 @@ class Model:
         before[np.cumsum(lengths) - lengths] = END
         return self.attention(before, flat, lengths)[0], self.near(before, flat)
 
-    def made(self, code: Coder, t: Texts, near: np.ndarray, own: int = 0) -> np.ndarray:
-        """Of every word and end, the log10 of its probability from its ids. near: the neighbours' part, of all that the coder holds."""
+    def laid(self, code: Coder, t: Texts, near: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' ids, those before them, the numbers of ids, where words begin, and the neighbours' probabilities. near: of all that the coder holds."""
         at, first = code.places(t)
         ids = code.flat[at]
         before = np.append(END, ids[:-1])
         lengths = np.add.reduceat(code.size[t.number], np.cumsum(t.words) - t.words)
-        attention, begin = self.attention(before, ids, lengths)
         close = near[at]
         close[first] = self.near(before[first], ids[first], own)
+        return ids, before, lengths, first, close
+
+    def made(self, t: Texts, before: np.ndarray, first: np.ndarray, close: np.ndarray, attention: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of every word and end, the log10 of its probability from its ids."""
         p = np.log10(self.mixture * attention + (1 - self.mixture) * close + 1e-300)
         begin = np.log10(self.mixture * begin[first] + (1 - self.mixture) * self.begin_near[before[first]] + 1e-300)
         ended = np.append(begin[1:], 0.0)
         ended[np.cumsum(t.words) - 1] = 0  # nothing comes after a text's end
         return np.maximum(np.add.reduceat(p, first) - begin + ended, -280)
 
-    def kept(self, code: Coder) -> tuple[np.ndarray, np.ndarray]:
+    def kept(self, code: Coder, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """What depends on a word alone, for all that the coder holds: the neighbours' part of its inner ids, and its count among the frequent words, -1 for others."""
-        now = (id(self), code.turn)
-        near, n = code.kept[1] if getattr(code, "kept", (None,))[0] == now else (np.empty(0), np.empty(0))
+        counts, *now, held = getattr(code, "kept", (None, None))
+        near, n = held if counts is self.counts and now == [code.turn, own] else (np.empty(0), np.empty(0))
         if len(n) < len(code.size):
             new = np.arange(len(near), len(code.flat))
-            near = np.append(near, self.near(code.flat[np.maximum(new - 1, 0)], code.flat[new]))
+            near = np.append(near, self.near(code.flat[np.maximum(new - 1, 0)], code.flat[new], own))
             h, head = code.hash[len(n) :], self.counts.head
             at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
             n = np.append(n, np.where(head[at] == h, self.counts.head_counts[at], -1.0) if len(head) else np.full(len(h), -1.0))
             n[0] = self.counts.documents
-            code.kept = (now, (near, n))
+            code.kept = (self.counts, code.turn, own, (near, n))
         return near, n
 
 
-def fit(counts: Counts, sample: list[bytes], vocabulary: str) -> Model:
+def ratios(x: np.ndarray) -> np.ndarray:
+    """A histogram of the ratios, by their logarithms."""
+    with np.errstate(divide="ignore"):
+        at = np.rint(np.clip(np.log2(x) * DOUBLED, -BINS // 2, BINS // 2 - 1)).astype(np.int64) + BINS // 2
+    return np.bincount(at, minlength=BINS)
+
+
+def weight_of(histogram: np.ndarray, most: float) -> float:
+    """The most likely weight of the first of two distributions, from a histogram of the ratios of their probabilities."""
+    x, out = 2.0 ** ((np.arange(BINS) - BINS // 2) / DOUBLED), 0.5
+    for _ in range(100 if histogram.any() else 0):
+        out = float(np.clip((histogram * (out * x / (out * x + 1 - out))).sum() / histogram.sum(), 0.01, most))
+    return out
+
+
+def untrained(counts: Counts, vocabulary: str) -> Model:
     code = coder(vocabulary)
     cls, row = _classes(counts)
     single = (counts.ids + 0.5) / (counts.ids + 0.5).sum()
@@ -470,36 +515,91 @@ def fit(counts: Counts, sample: list[bytes], vocabulary: str) -> Model:
     begin_near = np.bincount(before, part * begins[after], IDS) + held_back * (single * begins).sum()
     net = Attention(TOP + CLASSES + RARE, CLASSES + RARE)
     net.p["c"][:] = np.log(of_class + 1e-9)
-    model = Model(vocabulary, counts, cls, row, single / of_class[cls], single, held_back, part, begin_near, np.bincount(cls, single * begins, CLASSES + RARE) / np.maximum(of_class, 1e-300), net)
-    if not sample:
-        return model
-    cut = max(1, len(sample) * 9 // 10)
-    learn = code.read(sample[:cut])
-    flat = code.flat[code.places(learn)[0]]
-    prior = np.append(END, flat[:-1])
-    lengths = np.add.reduceat(code.size[learn.number], np.cumsum(learn.words) - learn.words)
-    at, inside = windows(lengths)
-    rng, state, t = np.random.default_rng(4), {}, 0
-    for _ in range(PASSES):
-        order = rng.permutation(len(at))
-        for a in range(0, len(order), BATCH):
-            t += 1
-            some = order[a : a + BATCH]
+    return Model(vocabulary, counts, cls, row, single / of_class[cls], single, held_back, part, begin_near, np.bincount(cls, single * begins, CLASSES + RARE) / np.maximum(of_class, 1e-300), net)
+
+
+class Learner:
+    """A task's part of a round: its own weights, and the histograms."""
+
+    def __init__(self, base: Model, weights: dict[str, np.ndarray], rate: float):
+        net = Attention(*base.net.p["e"].shape[:1], *base.net.p["c"].shape)
+        net.p = {k: x.copy() for k, x in weights.items()}
+        self.model, self.rate, self.state, self.steps, self.windows = replace(base, net=net), rate, {}, 0, 0
+        self.begins = base.begin_class.astype(np.float32)
+        self.rng, self.mixture, self.whole = np.random.default_rng(4), np.zeros(BINS), np.zeros(BINS)
+
+    def read(self, code: Coder, t: Texts) -> None:
+        m = self.model
+        near, n = m.kept(code, 1)
+        ids, before, lengths, first, close = m.laid(code, t, near, 1)
+        at, inside = windows(lengths)
+        rows, goals = m.row[before], m.cls[ids]
+        attention, begin = np.empty(len(ids), np.float32), np.empty(len(ids), np.float32)
+        order, a = self.rng.permutation(len(at)), 0
+        while a < len(order):
+            self.steps += 1
+            some = order[a : a + (FIRST_BATCH if self.steps <= FIRST_STEPS else BATCH)]
+            a += len(some)
             place, ok = at[some], inside[some]
-            net.step(row[prior[place]], ok, np.where(ok, cls[flat[place]], -1)[:, -STRIDE:], state, t)
-    held = code.read(sample[cut:] or sample)
-    ids = code.flat[code.places(held)[0]]
-    lengths = np.add.reduceat(code.size[held.number], np.cumsum(held.words) - held.words)
-    prior = np.append(END, ids[:-1])
-    attention, near = model.attention(prior, ids, lengths)[0], model.near(prior, ids, 1)  # the sample is among the counts
-    for _ in range(30):
-        share = model.mixture * attention
-        model.mixture = float(np.clip((share / (share + (1 - model.mixture) * near)).mean(), 0.01, 0.99))
-    own = np.maximum(model.kept(code)[1][held.number] - 1, 0) / max(1, counts.words)
-    made = 10.0 ** model.made(code, held, model.near(np.append(END, code.flat[:-1]), code.flat, 1), 1)
-    for _ in range(30):
-        share = model.whole * own
-        model.whole = float(np.clip((share / (share + (1 - model.whole) * made + 1e-300)).mean(), 0.01, 0.95))
+            own, scored = place[:, -STRIDE:], ok[:, -STRIDE:]
+            given = m.net.step(rows[place], ok, np.where(scored, goals[own], -1), self.begins, self.rate, self.state, self.steps)
+            own = own[scored]
+            attention[own], begin[own] = given
+        self.windows += len(at)
+        attention *= m.within[ids]
+        self.mixture += ratios(attention / close)
+        m.mixture = weight_of(self.mixture, 0.99)  # so far
+        made = 10.0 ** m.made(t, before, first, close, attention, begin)
+        self.whole += ratios(np.maximum(n[t.number] - 1, 0) / max(1, m.counts.words) / made)
+
+    def sums(self) -> np.ndarray:
+        weights = np.concatenate([x.ravel() for _, x in sorted(self.model.net.p.items())])
+        return np.concatenate([[self.windows], self.mixture, self.whole, weights.astype(float) * self.windows])
+
+
+def fit(counts: Counts, train: DataFrame | None, vocabulary: str) -> Model:
+    """The model, its layer and mixtures fitted on all texts of train (doc_id, text)."""
+    model = untrained(counts, vocabulary)
+    if not train or not counts.documents:
+        return model
+    sent = train.sparkSession.sparkContext.broadcast(model)
+    weights, mixture, whole = model.net.p, np.zeros(BINS), np.zeros(BINS)
+    part_of = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    names, schema = ["block", "task", "part"], "block int, task int, part binary"
+    for (low, rate), (high, _) in zip(ROUNDS, ROUNDS[1:]):
+        common = train.sparkSession.sparkContext.broadcast(weights)
+
+        def run(batches: Iterator[pa.RecordBatch], common=common, rate=rate) -> Iterator[pa.RecordBatch]:
+            code, learner = coder(vocabulary), Learner(sent.value, common.value, rate)
+            for batch in batches:
+                texts, lengths = plain(batch.column(0))
+                for a, b in runs(lengths, SLICE):
+                    learner.read(code, code.read(texts.slice(a, b - a)))
+            if learner.windows:
+                sums, task = learner.sums(), TaskContext.get().partitionId()
+                parts = [sums[a : a + PART].tobytes() for a in range(0, len(sums), PART)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names)
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, part in zip(batch.column(0).to_pylist(), batch.column(2)):
+                    totals[k] = totals.get(k, 0) + np.frombuffer(part.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.nulls(len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names)
+
+        parts = train.where((part_of >= low) & (part_of < high)).select("text").mapInArrow(trimmed(run), schema)
+        parts = parts.repartition("block").sortWithinPartitions("block", "task").mapInArrow(trimmed(added), schema)
+        found = sorted((r.block, bytes(r.part)) for r in parts.collect())
+        common.unpersist()
+        if found:
+            sums = np.frombuffer(b"".join(x for _, x in found))
+            mixture, whole = mixture + sums[1 : 1 + BINS], whole + sums[1 + BINS : 1 + 2 * BINS]
+            mean, weights, a = (sums[1 + 2 * BINS :] / sums[0]).astype(np.float32), dict(weights), 0
+            for name, x in sorted(weights.items()):
+                weights[name] = mean[a : a + x.size].reshape(x.shape)
+                a += x.size
+    sent.unpersist()
+    model.net.p, model.mixture, model.whole = weights, weight_of(mixture, 0.99), weight_of(whole, 0.95)
     return model
 
 
@@ -513,11 +613,7 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     train = docs.where(~F.coalesce(crc_of_id() % 7 == 2, F.lit(False)))
     gathered = scratch.put(gather(train, vocabulary), "counts")
     counts = counts_of(gathered)
-    most = sample_size(counts.documents)
-    last = train.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    sample = train.where(F.xxhash64("doc_id") <= F.lit(last if last is not None else 0)).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    sample = sample.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(most)  # ids may repeat
-    model = spark.sparkContext.broadcast(fit(counts, [r.text.encode() for r in sample.collect()], vocabulary))
+    model = spark.sparkContext.broadcast(fit(counts, train, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, code = model.value, coder(vocabulary)
@@ -528,7 +624,8 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
                 t = code.read(texts.slice(a, b - a))
                 near, n = m.kept(code)
                 known, n = n[t.number] >= 0, np.maximum(n[t.number], 0)
-                made = (1 - m.whole) * 10.0 ** m.made(code, t, near)
+                ids, before, sizes, begun, close = m.laid(code, t, near)
+                made = (1 - m.whole) * 10.0 ** m.made(t, before, begun, close, *m.attention(before, ids, sizes))
                 first = np.cumsum(t.words) - t.words
                 per_text = lambda x, first=first: np.add.reduceat(x, first)
                 word = t.number > 0

@@ -169,6 +169,30 @@ def test_lm(spark):
     assert lm.score(empty(spark), VOCAB).count() == 0
 
 
+def test_lm_learns_from_all_documents(spark):
+    """Every training text changes the layer, long ones too, as the vectors of words that only it has show; the mixtures are fitted."""
+    v, r = vocabulary(), random.Random(4)
+    rows = [(i, " ".join([v[100 + i % 300], *(r.choice(v[:100]) for _ in range(40))])) for i in range(400)]
+    rows += [(900, " ".join(["zebra quartz", *(r.choice(v[:100]) for _ in range(6000))])), (901, None), (902, "")]
+    docs = table(spark, rows).repartition(3)
+    counts = lm.counts_of(lm.gather(docs, VOCAB))
+    before, after = lm.untrained(counts, VOCAB), lm.fit(counts, docs, VOCAB)
+    changed = (before.net.p["e"] != after.net.p["e"]).any(axis=1)
+    code = lm.coder(VOCAB)
+    t = code.read([(x or "").encode() for _, x in rows])
+    ids, last = code.flat[code.places(t)[0]], np.cumsum(np.add.reduceat(code.size[t.number], np.cumsum(t.words) - t.words)) - 1
+    assert len(rows[400][1]) > 20_000 and changed[before.row[np.delete(ids, last)]].all()
+    assert after.mixture != 0.5 != after.whole and all(np.isfinite(x).all() for x in after.net.p.values())
+    assert lm.fit(counts, docs.limit(0), VOCAB).mixture == 0.5
+
+
+def test_lm_weight_of_histogram():
+    r = np.random.default_rng(2)
+    first = r.random(20_000) < 0.3
+    x = np.where(first, r.beta(4, 1, len(first)), r.beta(1, 4, len(first)))  # densities 4 x^3 and 4 (1 - x)^3
+    assert lm.weight_of(lm.ratios(x**3 / (1 - x) ** 3), 0.99) == pytest.approx(0.3, abs=0.02)
+
+
 def test_lm_is_a_distribution():
     """Over all ids after a context the probabilities add up to 1, and they don't depend on what comes later."""
     counts = lm.Counts(np.bincount([5, 6, 7, 7, lm.END], minlength=lm.IDS).astype(float), np.array([5 << 32 | 6, 7 << 32 | 7]), np.array([3.0, 2.0]), np.empty(0, np.int64), np.empty(0, np.int64), 4, 3, 1)
