@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Lists and classes longer than this are dealt out in parts for a join.
+#: Lists longer than this are dealt out in parts for a join.
 PART = 1000
+#: About so many members of a class are one row until the pairs are written out, which a task does for one row after the other.
+FOLDED = 128
 
 
 def similar_pairs(items: DataFrame, key: str, tokens: Column, least: int = 2) -> DataFrame:
@@ -19,7 +21,8 @@ def similar_pairs(items: DataFrame, key: str, tokens: Column, least: int = 2) ->
     rows = items.select(F.col(key).alias("k"), F.explode(tokens).alias("t")).where("k is not null and t is not null")
     sets = rows.groupBy("k").agg(F.array_sort(F.collect_set("t")).alias("ts")).where(F.size("ts") >= least)
     classes = sets.groupBy("ts").agg(F.min("k").alias("c"), F.count("*").alias("m"))
-    members = sets.join(classes, "ts").select("c", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("m") / PART)).alias("part"))
+    members = sets.join(classes, "ts").select("c", "k", F.pmod(F.xxhash64("k"), F.ceil(F.col("m") / FOLDED)).alias("part"))
+    members = members.groupBy("c", "part").agg(F.collect_list("k").alias("ks"))
 
     lists = classes.select("c", F.size("ts").alias("size"), F.explode("ts").alias("t"))
     lists = lists.join(lists.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "t")
@@ -35,12 +38,15 @@ def similar_pairs(items: DataFrame, key: str, tokens: Column, least: int = 2) ->
     both = both.select("a", "b", "ma", "mb", F.size(F.array_intersect("ta", "tb")).alias("shared")).where(F.col("shared") >= least)
     alike = classes.where("m > 1").select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("m").alias("ma"), F.col("m").alias("mb"), F.size("ts").alias("shared"))
     for x in ("a", "b"):
-        parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"m{x}") / PART) - 1)
+        parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"m{x}") / FOLDED) - 1)
         alike, both = (d.withColumn(f"p{x}", F.explode(parts)) for d in (alike, both))
-    out = both.unionByName(alike)
+    out = both.unionByName(alike.where("pa <= pb"))
     for x in ("a", "b"):
-        out = out.join(members.select(F.col("c").alias(x), F.col("part").alias(f"p{x}"), F.col("k").alias(f"k{x}")), [x, f"p{x}"])
-    return out.where("a <> b or ka < kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared")
+        out = out.join(members.select(F.col("c").alias(x), F.col("part").alias(f"p{x}"), F.col("ks").alias(f"k{x}")), [x, f"p{x}"])
+    # Folded, the pairs are short rows of much work, which sizes in bytes don't tell.
+    out = out.select((F.struct("a", "pa") == F.struct("b", "pb")).alias("same"), "shared", "ka", "kb").repartition(4 * items.sparkSession.sparkContext.defaultParallelism)
+    out = out.select("same", "shared", "kb", F.explode("ka").alias("ka")).select("same", "shared", "ka", F.explode("kb").alias("kb"))
+    return out.where("not same or ka < kb").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared")
 
 
 def components(links: DataFrame, root: str | None = None, most: int = 40) -> DataFrame:

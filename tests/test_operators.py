@@ -141,6 +141,19 @@ def test_similar_pairs(spark, monkeypatch):
     assert relations.similar_pairs(many, "k", F.col("ts")).count() == 1100 * 1099 // 2
 
 
+def test_similar_pairs_folded(spark, monkeypatch):
+    """Classes of many parts against brute force; pairs of members are written out after the last join, not by it."""
+    sets = {f"k{k}": {"x", "y", "z"} if k % 3 else {"x", "y", str(k % 2)} for k in range(90)} | {"own": {"x", "y"}, "none": {"z", "w"}}
+    d = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "k string, ts array<string>")
+    expected = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2)
+    for folded in (1, 7, 128):
+        monkeypatch.setattr(relations, "FOLDED", folded, raising=False)
+        out = relations.similar_pairs(d, "k", F.col("ts"))
+        assert rows(out, "a", "b", "shared") == expected
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert max(plan.find("Generate explode(ka"), plan.find("Generate explode(kb")) in range(plan.index("Join "))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (9, 8), (8, 7), (7, 6)], "a long, b long")
     assert {r.id: r.component for r in relations.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 6}
