@@ -179,7 +179,7 @@ def _multiply(words: np.ndarray, size: np.ndarray, idf: np.ndarray, basis: np.nd
     if len(x):
         first = runs(passage)
         along[passage[first]] += _sums(basis, feature, x, lengths(first, len(x)))
-        by = np.argsort(feature, kind="stable")
+        by = np.argsort(feature.astype(np.uint16) if len(idf) <= 1 << 16 else feature, kind="stable")
         first = runs(feature[by])
         out[feature[by][first]] += _sums(along, passage[by], x[by], lengths(first, len(x)))
     out[often] += held.T @ along
@@ -304,45 +304,53 @@ class Index:
 
     def possible(self, numbers: list[np.ndarray]) -> np.ndarray:
         """Text by item: whether the text has LIKELY of the item's words, each counted as often as the item has it."""
-        seen = np.zeros((len(numbers), self.features.size), bool)
-        for row, x in zip(seen, numbers):
-            row[x] = True
-        seen = seen[:, HASHED:]
+        seen = np.zeros((len(numbers), len(self.features.own)), bool)
+        flat = np.concatenate(numbers)
+        text = np.repeat(np.arange(len(numbers)) * seen.shape[1], [len(x) for x in numbers])
+        own = flat >= HASHED
+        seen.ravel()[flat[own] + text[own] - HASHED] = True
         counts = seen[:, self.common].astype(np.float32) @ self.table
-        text, word = np.nonzero(seen)
+        seen[:, self.common] = False
+        at = np.flatnonzero(seen)
+        text = at // max(1, seen.shape[1])
+        word = at - text * seen.shape[1]
         n = np.diff(self.first)[word]
         at = np.arange(n.sum()) + np.repeat(self.first[word] - (np.cumsum(n) - n), n)
         rest = np.bincount(np.repeat(text, n) * len(self.codes) + self.holders[at], self.times[at], len(numbers) * len(self.codes))
         return counts + rest.reshape(counts.shape) >= LIKELY * self.length
 
     def near(self, parts: list[np.ndarray], possible: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(part, item, start) of stretches twice as long as those that are checked, which hold words enough of the item and its answer."""
+        """(part, item, start) of stretches twice as long as those that are checked, which hold words enough of the item and its answer, each as often as the item has it."""
         part, item = np.nonzero(possible)
         out = []
-        step = max(1, (1 << 22) // max(1, max(map(len, parts)) + self.slots.shape[1] * 8))
+        size_of = np.array([len(x) for x in parts])
+        step = max(1, (1 << 22) // max(1, max(size_of) + self.slots.shape[1] * 8))
+        # The parts' words that some item has.
+        flat, begin = np.concatenate(parts), np.cumsum(size_of) - size_of
+        place = np.flatnonzero(flat >= HASHED)
+        number = flat[place] - HASHED
+        first = np.searchsorted(place, begin)
+        hits = np.diff(np.append(first, len(place)))
+        slots, width = self.slots.ravel(), self.often.shape[1]
         for a in range(0, len(part), step):
             p, k = part[a : a + step], item[a : a + step]
             size = self.stretch[k]
-            n = np.array([len(parts[x]) for x in p])
-            words = np.zeros((len(p), n.max()), np.int64)
-            for row, x in zip(words, p):
-                row[: len(parts[x])] = parts[x]
-            slot = np.where(words >= HASHED, self.slots[k[:, None], np.maximum(words - HASHED, 0)], -1)
-            row, at = np.nonzero((slot >= 0) & (np.arange(words.shape[1]) < n[:, None]))
-            slot = slot[row, at]
-            pieces_ = np.maximum(1, -(-n // size) - 1)  # each from a multiple of the size, of twice the size
-            base = np.cumsum(pieces_) - pieces_
-            marks = np.zeros((pieces_.sum(), self.often.shape[1]), bool)
-            j = at // size[row]
-            for back in (0, 1):
-                ok = (j - back >= 0) & (j - back < pieces_[row])
-                marks[(base[row] + j - back)[ok], slot[ok]] = True
+            row = np.repeat(np.arange(len(p)), hits[p])
+            at = np.arange(len(row)) + np.repeat(first[p] - (np.cumsum(hits[p]) - hits[p]), hits[p])
+            slot = slots[np.repeat(k * self.slots.shape[1], hits[p]) + number[at]]
+            some = np.flatnonzero(slot >= 0)
+            row, at, slot = row[some], at[some], slot[some]
+            pieces_ = np.maximum(1, -(-size_of[p] // size) - 1)  # each from a multiple of the size, of twice the size
+            base = np.cumsum(pieces_ + 1) - (pieces_ + 1)
+            j = (place[at] - begin[p[row]]) // size[row]
+            counts = np.bincount((base[row] + j) * width + slot, minlength=(pieces_ + 1).sum() * width).reshape(-1, width)
             own = np.repeat(np.arange(len(p)), pieces_)
-            count = (marks * self.often[k[own]]).sum(axis=1, dtype=np.int64)
-            tail = (marks * self.often_last[k[own]]).sum(axis=1, dtype=np.int64)
-            size_of = self.length[k[own]]
-            keep = np.flatnonzero((count >= SURE * size_of) | ((count >= LIKELY * size_of) & (2 * tail > np.minimum(ANSWER, size_of))))
-            out.append((p[own[keep]], k[own[keep]], (keep - base[own[keep]]) * size[own[keep]]))
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces_) - pieces_, pieces_)
+            held = np.minimum(counts[base[own] + nth] + counts[base[own] + nth + 1], self.often[k[own]])
+            count, tail = held.sum(axis=1), np.minimum(held, self.often_last[k[own]]).sum(axis=1)
+            length = self.length[k[own]]
+            keep = np.flatnonzero((count >= SURE * length) | ((count >= LIKELY * length) & (2 * tail > np.minimum(ANSWER, length))))
+            out.append((p[own[keep]], k[own[keep]], nth[keep] * size[own[keep]]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (part, item, part)
 
     def search(self, units: list[np.ndarray], items: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
@@ -360,7 +368,11 @@ class Index:
                 for row, k in zip(words, own):
                     row[: len(units[k])] = units[k]
                 sums = np.zeros((len(own), n + 1, self.vectors.shape[1]), np.float32)
-                sums[:, 1:] = np.add.reduce(self.vectors[words.reshape(-1, BLOCK)], axis=1).reshape(len(own), n, -1)
+                words = words.reshape(-1, BLOCK)
+                parts = np.empty((len(words), self.vectors.shape[1]), np.float32)
+                for x in range(0, len(words), 256):  # few enough to stay in the cache
+                    np.add.reduce(np.take(self.vectors, words[x : x + 256], axis=0, mode="clip"), axis=1, out=parts[x : x + 256])
+                sums[:, 1:] = parts.reshape(len(own), n, -1)
                 np.cumsum(sums, axis=1, out=sums)
                 z = sums[:, width:] - sums[:, :-width]
                 cosine = (z @ self.latent[items[own]][:, :, None])[:, :, 0] / np.maximum(np.sqrt(np.einsum("ijk,ijk->ij", z, z)), 1e-9)

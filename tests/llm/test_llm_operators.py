@@ -431,6 +431,22 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty(spark), bench).count() == 0
 
 
+def test_decontamination_bound(spark):
+    """A word counts in a stretch as often as it stands there: stretches that repeat few of an item's words aren't searched, those that hold the item's places are."""
+    item = [f"w{k % 5}" for k in range(20)] + [f"x{k}" for k in range(10)]
+    texts = [["w0", "w1", "w2", "w3", "w4", "x7", "x8", "x9", "x4"] + ["other"] * 60, ["other"] * 70 + item[:12] + ["gap", "gap"] + item[16:] + ["other"] * 80]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    index, scratch, _ = decontam.build(docs, [7], [" ".join(item).encode()])
+    scratch.drop("words")
+    numbers = index.features.read([" ".join(t).encode() for t in texts])
+    possible = np.array([[True], [True]])
+    part, found, start = index.near(numbers, possible)
+    stretch = int(index.stretch[0])
+    assert set(part.tolist()) == {1} and set(found.tolist()) == {0}
+    assert any(s <= 70 and 70 + 28 <= s + 2 * stretch for s in start.tolist())
+    assert [[(m[0], m[3]) for m in x] for x in index.matches(numbers)] == [[], [(7, True)]]
+
+
 def test_latent_space_of_all_documents(spark, monkeypatch):
     """The space holds nearly as much of all documents' passages, those of long texts too, as the best one does."""
     r, v = random.Random(8), vocabulary(300)
