@@ -275,6 +275,11 @@ def _length(x: np.ndarray) -> float:
     return float(np.sqrt(np.square(x).sum(axis=-1)).max())
 
 
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a'b over all rows. Window by window, as one product of so long and narrow matrices is slow."""
+    return (a.transpose(0, 2, 1) @ b).sum(axis=0)
+
+
 class Attention:
     """h = soft(x A + softmax(q k' + distance) v O + b), soft(z) = z / (1 + |z|); classes = softmax(h U + c)."""
 
@@ -288,6 +293,7 @@ class Attention:
         }
         away = np.arange(WINDOW)[-STRIDE:, None] - np.arange(WINDOW)[None, :]
         self.future, self.away = away < 0, np.maximum(away, 0)
+        self.place = np.arange(rows * WIDTH).reshape(rows, WIDTH)
 
     def forward(self, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Class logits of the last STRIDE places of each window. rows: the id before each place; valid: inside the text."""
@@ -297,11 +303,12 @@ class Attention:
         q, k, v = (y.reshape(-1, WIDTH) @ p[w] for y, w in ((xs, "q"), (x, "k"), (x, "v")))
         q, k, v = q.reshape(xs.shape), k.reshape(x.shape), v.reshape(x.shape)
         q *= np.float32(WIDTH**-0.5)
-        s = q @ k.transpose(0, 2, 1)
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        tame = max(float(s.max(initial=0)), -float(s.min(initial=0))) + float(np.abs(p["d"]).max()) < 80  # every place sees one of the text's at least
         s += np.where(self.future, np.float32(-1e9), p["d"][self.away])
-        if not valid.all():
-            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        w = _softmax(s, _length(q) * _length(k) + float(np.abs(p["d"]).max()) < 80)  # every place sees one of the text's at least
+        if len(short := np.flatnonzero(~valid.all(axis=1))):
+            s[short] += np.where(valid[short], np.float32(0), np.float32(-1e9))[:, None, :]
+        w = _softmax(s, tame)
         o = w @ v
         h = xs.reshape(-1, WIDTH) @ p["a"]
         h += o.reshape(-1, WIDTH) @ p["o"]
@@ -321,18 +328,21 @@ class Attention:
         g = _softmax(logits, float((np.abs(p["u"]).sum(axis=0) + np.abs(p["c"])).max()) < 80)
         goal = goal.reshape(-1)
         inside = np.flatnonzero(goal >= 0)
-        given = g[inside, goal[inside]], (g @ begins)[inside]
-        g[inside, goal[inside]] -= 1
+        at = inside * g.shape[1] + goal[inside]
+        given = g.ravel()[at], (g @ begins)[inside]
+        g.ravel()[at] -= 1
         if len(inside) < len(g):
-            g[goal < 0] = 0
+            g[np.flatnonzero(goal < 0)] = 0
         g *= np.float32(1 / max(1, len(inside)))
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        d = {"u": h.T @ g, "c": g.sum(axis=0)}
+        in_windows = lambda y: y.reshape(*xs.shape[:2], -1)
+        ones = np.ones(len(g), np.float32)
+        d = {"u": _cross(in_windows(h), in_windows(g)), "c": ones @ g}
         dh = g @ p["u"].T
         dh *= np.square(1 - np.abs(h))
-        d |= {"a": flat(xs).T @ dh, "o": flat(o).T @ dh, "b": dh.sum(axis=0)}
+        d |= {"a": _cross(xs, in_windows(dh)), "o": _cross(o, in_windows(dh)), "b": ones @ dh}
         do = (dh @ p["o"].T).reshape(o.shape)
-        ds = do @ v.transpose(0, 2, 1)
+        ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
         dv = w.transpose(0, 2, 1) @ do
         # The sum of weights times their gradients is that of the output times its own.
         ds -= np.einsum("ijk,ijk->ij", o, do)[:, :, None]
@@ -340,16 +350,27 @@ class Attention:
         d["d"] = np.bincount(self.away.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         dq *= np.float32(WIDTH**-0.5)
-        d |= {"q": flat(xs).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
+        d |= {"q": _cross(xs, dq), "k": _cross(x, dk), "v": _cross(x, dv)}
         dx = (flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(x.shape)
         dx[:, -STRIDE:] += (dh @ p["a"].T + flat(dq) @ p["q"].T).reshape(xs.shape)
-        place = rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        place = np.take(self.place, rows.ravel(), axis=0, mode="clip")
         d["e"] = np.bincount(place.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
         for name, grad in d.items():
-            m, s2 = state.setdefault(name, (np.zeros_like(grad), np.zeros_like(grad)))
-            m += np.float32(0.1) * (grad - m)
-            s2 += np.float32(0.02) * (grad * grad - s2)
-            p[name] -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(s2 * np.float32(1 / (1 - 0.98**t))) + np.float32(1e-7))
+            if name not in state:
+                state[name] = np.zeros_like(grad), np.zeros_like(grad)
+            m, s2 = state[name]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * grad
+            s2 *= np.float32(0.98)
+            grad *= grad
+            grad *= np.float32(0.02)
+            s2 += grad
+            by = np.multiply(s2, np.float32(1 / (1 - 0.98**t)), out=grad)
+            np.sqrt(by, out=by)
+            by += np.float32(1e-7)
+            np.divide(m, by, out=by)
+            by *= np.float32(rate / (1 - 0.9**t))
+            p[name] -= by
         return given
 
 
@@ -370,10 +391,10 @@ class Tables:
         """For the last STRIDE places of each window the probability of the goal's class, and that of an id that begins a word."""
         own = rows[:, -STRIDE:]
         take = lambda x, at: np.take(x, at, axis=0, mode="clip")
-        s = take(self.q, own) @ take(self.k, rows).transpose(0, 2, 1)
+        s = take(self.q, own) @ np.ascontiguousarray(take(self.k, rows).transpose(0, 2, 1))
         s += self.bias
-        if not valid.all():
-            s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]  # every place sees one of the text's at least
+        if len(short := np.flatnonzero(~valid.all(axis=1))):
+            s[short] += np.where(valid[short], np.float32(0), np.float32(-1e9))[:, None, :]  # every place sees one of the text's at least
         if not self.tame[0]:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)

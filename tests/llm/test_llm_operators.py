@@ -193,6 +193,34 @@ def test_lm_weight_of_histogram():
     assert lm.weight_of(lm.ratios(x**3 / (1 - x) ** 3), 0.99) == pytest.approx(0.3, abs=0.02)
 
 
+def test_attention_step():
+    """One step's gradients against differences of the loss, with windows of which a part is outside; products taken window by window are whole."""
+    r = np.random.default_rng(8)
+    a, b = (r.standard_normal((5, lm.STRIDE, n)).astype(np.float32) for n in (3, 4))
+    assert np.allclose(lm._cross(a, b), a.reshape(-1, 3).T @ b.reshape(-1, 4), atol=1e-4)
+    rows, valid, goal = r.integers(0, 30, (6, lm.WINDOW)), np.ones((6, lm.WINDOW), bool), r.integers(0, 9, (6, lm.STRIDE))
+    valid[0, : lm.WINDOW - lm.STRIDE], valid[1, -5:], goal[1, -5:] = False, False, -1
+    net, state = lm.Attention(30, 9), {}
+    start = {k: x.copy() for k, x in net.p.items()}
+    inside = np.flatnonzero(goal.ravel() >= 0)
+
+    def given():
+        e = np.exp(net.forward(rows, valid)[0].astype(float))
+        return (e / e.sum(axis=1, keepdims=True))[inside]
+
+    own = given()
+    got, begin = net.step(rows, valid, goal, np.arange(9, dtype=np.float32), 0.01, state, 1)
+    assert np.allclose(got, own[np.arange(len(inside)), goal.ravel()[inside]], atol=1e-5) and np.allclose(begin, own @ np.arange(9), atol=1e-4)
+    for name, x in start.items():
+        at = np.unravel_index(np.abs(state[name][0]).argmax(), x.shape)
+        loss = []
+        for away in (1e-2, -1e-2):
+            net.p = {k: y.copy() for k, y in start.items()}
+            net.p[name][at] += away
+            loss.append(-np.log(given()[np.arange(len(inside)), goal.ravel()[inside]]).mean())
+        assert state[name][0][at] * 10 == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=0.03, abs=1e-4), name
+
+
 def test_lm_is_a_distribution():
     """Over all ids after a context the probabilities add up to 1, and they don't depend on what comes later."""
     counts = lm.Counts(np.bincount([5, 6, 7, 7, lm.END], minlength=lm.IDS).astype(float), np.array([5 << 32 | 6, 7 << 32 | 7]), np.array([3.0, 2.0]), np.empty(0, np.int64), np.empty(0, np.int64), 4, 3, 1)
