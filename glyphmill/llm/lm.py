@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -55,14 +55,15 @@ WINDOW, STRIDE = 32, 24
 ROUNDS = ((0, 0.01), (1, 0.005), (4, 0.0025), (16, 0))
 #: Windows of a step, and of the first steps of a task.
 BATCH, FIRST_BATCH, FIRST_STEPS = 128, 32, 500
+GROUP = 8  # windows of one product
 #: Bins of a histogram of ratios, and how many of them double the ratio.
 BINS, DOUBLED = 4096, 32
 PART = 4096
 DISCOUNT = 0.75
 PAIRS = 1 << 20
 HEAD = 1 << 19
-SLICE = 1 << 20
-SCORED_AT_ONCE = 256
+SLICE, ROW = 1 << 20, 16  # bytes of a block, and what a text counts beside its own
+SCORED_AT_ONCE = 128
 RUN = 8 << 20
 MOST_CACHED = 1_200_000
 
@@ -80,17 +81,29 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Texts:
-    """The words of texts laid end to end, each text with its end; a word is a number of the coder's."""
+    """The words of texts laid end to end, each text with its end; a word is a number."""
 
     number: np.ndarray
     words: np.ndarray  # of each text, its end counted
 
 
-class Coder:
-    """Subword ids of words. Words have numbers, and the ids of word k are flat[first[k] : first[k] + size[k]]. Word 0 is the end.
+@dataclass
+class Words:
+    """Subword ids of words. Words have numbers, and the ids of word k are flat[first[k] : first[k] + size[k]]. Word 0 is the end."""
 
-    What the numbers stand for changes with `turn`, when too many words are held.
-    """
+    hash: np.ndarray
+    size: np.ndarray
+    flat: np.ndarray
+    first: np.ndarray
+
+    def places(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The places in flat of the texts' ids, and where each word's begin."""
+        size = self.size[t.number]
+        return ragged(self.first[t.number], size), np.cumsum(size) - size
+
+
+class Coder(Words):
+    """The words met so far, all forgotten when they are too many."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,13 +113,11 @@ class Coder:
         self.tokenizer.encode_special_tokens = True
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
         self.begins = np.array([k == END or (self.tokenizer.id_to_token(k) or "").startswith(space) for k in range(IDS)])
-        self.turn = 0
         self.forget()
 
     def forget(self) -> None:
         self.known, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.hash, self.first, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END, np.int64)
-        self.turn += 1
 
     def read(self, texts: list[bytes] | pa.Array) -> Texts:
         at, words, h, ends = distinct_words([t.lower() for t in texts] if isinstance(texts, list) else pc.ascii_lower(texts))
@@ -134,7 +145,7 @@ class Coder:
         for a in range(0, len(words), 4096):
             some = words[a : a + 4096]
             joined = " " + " ".join(some)
-            own = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int64)
+            own = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)  # without the places in the text
             start = np.flatnonzero(self.begins[own])
             # Other white space within words could be split otherwise next to a space.
             if len(joined.split()) == len(start) == len(some) and not start[0]:
@@ -146,11 +157,6 @@ class Coder:
                 ids.append(np.fromiter(chain.from_iterable(each), np.int64, int(sizes[-1].sum())))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def places(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """The places in flat of the texts' ids, and where each word's begin."""
-        size = self.size[t.number]
-        return ragged(self.first[t.number], size), np.cumsum(size) - size
-
 
 @lru_cache(maxsize=1)
 def coder(vocabulary: str) -> Coder:
@@ -158,6 +164,72 @@ def coder(vocabulary: str) -> Coder:
     return Coder(vocabulary)
 
 
+# -- texts in subword ids, written once
+
+
+CODED = "round int, doc_id array<long>, words binary, number binary, hash binary, size binary, flat binary"
+
+
+def coded(docs: DataFrame, vocabulary: str, held_out: Column | None = None) -> DataFrame:
+    """Blocks of about SLICE bytes of texts of one round, -1 where they are held out, each with the ids of its own words.
+
+    docs: (doc_id, text). They are encoded here and nowhere else: counting, every round and scoring read the blocks.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    number = sum((part >= low).cast("int") for low, _ in ROUNDS) - 1
+    number = number if held_out is None else F.when(held_out, -1).otherwise(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, waiting = coder(vocabulary), {}
+
+        def blocks(k: int, rows: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+            texts, lengths = plain(rows.column(1))
+            lengths = [n + ROW for n in lengths]
+            for a, b in runs(lengths, SLICE):
+                if not last and sum(lengths[a:b]) < SLICE:
+                    return rows.take(pa.array(range(a, b)))  # a copy, so that the others can go
+                yield coded_block(code, k, rows.column(0).slice(a, b - a), code.read(texts.slice(a, b - a)))
+
+        for batch in batches:
+            number = batch.column(2).to_numpy()
+            for k in np.unique(number).tolist():
+                rows = batch.take(pa.array(np.flatnonzero(number == k)))
+                waiting[k] = yield from blocks(k, pa.concat_batches([waiting[k], rows]) if waiting.get(k) else rows, False)
+        for k, rows in waiting.items():
+            if rows:
+                yield from blocks(k, rows, True)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", number.alias("round")).mapInArrow(trimmed(run), CODED)
+
+
+def coded_block(code: Coder, k: int, doc_ids: pa.Array, t: Texts) -> pa.RecordBatch:
+    times = np.bincount(t.number)
+    own = np.flatnonzero(times[1:]) + 1
+    own = np.append(0, own[np.argsort(code.hash[own])])  # sorted, they are found faster
+    times[own] = np.arange(len(own))
+    number, size = times[t.number], code.size[own]
+    flat = code.flat[ragged(code.first[own], size)]
+    parts = t.words.astype(np.int32), number.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32), code.hash[own], size.astype(np.int32), flat.astype(np.uint16)
+    ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in parts)], [x.split()[0] for x in CODED.split(", ")])
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Texts, Words]]:
+    """The ids of documents, their texts and words, of each block."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            words, number, hashes, size, flat = (batch.column(name)[k].as_buffer() for name in ("words", "number", "hash", "size", "flat"))
+            words, size = np.frombuffer(words, np.int32).astype(np.int64), np.frombuffer(size, np.int32).astype(np.int64)
+            number = np.frombuffer(number, np.uint16 if len(size) <= 1 << 16 else np.uint32).astype(np.int64)
+            own = Words(np.frombuffer(hashes, np.int64), size, np.frombuffer(flat, np.uint16).astype(np.int64), np.cumsum(size) - size)
+            yield batch.column("doc_id")[k].values, Texts(number, words), own
+
+
+def in_blocks(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """docs, (doc_id, text) or blocks already."""
+    return docs if "flat" in docs.columns else coded(docs, vocabulary)
+
+
 # -- what is gathered from all training documents
 
 
@@ -165,9 +237,8 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(kind, key, n): counts of words by hash (0), ids (1), pairs of neighbouring ids (2) and documents (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(vocabulary)
         words, counts, pairs = [], [], []
-        ids, size, documents = np.zeros(IDS, np.int64), 0, 0
+        ids, documents = np.zeros(IDS, np.int64), 0
 
         def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
@@ -179,27 +250,22 @@ def gather(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield rows(2, *np.unique(np.concatenate(pairs), return_counts=True))
             yield rows(3, np.zeros(1, np.int64), np.array([documents]))
 
-        for batch in batches:
-            texts, lengths = plain(batch.column(0))
-            for a, b in runs(lengths, SLICE):
-                t = code.read(texts.slice(a, b - a))
-                times = np.bincount(t.number)
-                number = np.flatnonzero(times[1:]) + 1
-                words.append(code.hash[number])
-                counts.append(times[number])
-                own = code.flat[code.places(t)[0]]
-                ids += np.bincount(own, minlength=IDS)
-                pairs.append(np.append(END, own[:-1]) << 32 | own)
-                documents += b - a
-                size += sum(lengths[a:b])
-                if size >= RUN:
-                    yield from counted()
-                    words, counts, pairs = [], [], []
-                    ids, size, documents = np.zeros(IDS, np.int64), 0, 0
+        coder.cache_clear()  # encoding has ended
+        for _, t, block in blocks_of(batches):
+            words.append(block.hash[1:])
+            counts.append(np.bincount(t.number, minlength=len(block.hash))[1:])
+            own = block.flat[block.places(t)[0]]
+            ids += np.bincount(own, minlength=IDS)
+            pairs.append(np.append(END, own[:-1]) << 32 | own)
+            documents += len(t.words)
+            if len(words) >= RUN // SLICE:
+                yield from counted()
+                words, counts, pairs = [], [], []
+                ids, documents = np.zeros(IDS, np.int64), 0
         if documents:
             yield from counted()
 
-    return docs.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return in_blocks(docs, vocabulary).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -276,8 +342,11 @@ def _length(x: np.ndarray) -> float:
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a'b over all rows. Window by window, as one product of so long and narrow matrices is slow."""
-    return (a.transpose(0, 2, 1) @ b).sum(axis=0)
+    """a'b over all rows. By groups of windows, as one product of so long and narrow matrices is slow, and one for each window is many."""
+    whole = len(a) // GROUP * GROUP
+    grouped = lambda x, n: x.reshape(-1, n * x.shape[1], x.shape[2])
+    out = (grouped(a[:whole], GROUP).transpose(0, 2, 1) @ grouped(b[:whole], GROUP)).sum(axis=0)
+    return out + grouped(a[whole:], len(a) - whole)[0].T @ grouped(b[whole:], len(a) - whole)[0] if whole < len(a) else out
 
 
 class Attention:
@@ -298,25 +367,30 @@ class Attention:
     def forward(self, rows: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Class logits of the last STRIDE places of each window. rows: the id before each place; valid: inside the text."""
         p = self.p
+        # The products of weights are taken first: q k' is xs (q k') x', and what the weights w make of v goes through v o.
         x = np.take(p["e"], rows, axis=0, mode="clip")
         xs = np.ascontiguousarray(x[:, -STRIDE:])
-        q, k, v = (y.reshape(-1, WIDTH) @ p[w] for y, w in ((xs, "q"), (x, "k"), (x, "v")))
-        q, k, v = q.reshape(xs.shape), k.reshape(x.shape), v.reshape(x.shape)
-        q *= np.float32(WIDTH**-0.5)
-        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        qk = p["q"] @ p["k"].T * np.float32(WIDTH**-0.5)
+        q = (xs.reshape(-1, WIDTH) @ qk).reshape(xs.shape)
+        s = q @ x.transpose(0, 2, 1)
         tame = max(float(s.max(initial=0)), -float(s.min(initial=0))) + float(np.abs(p["d"]).max()) < 80  # every place sees one of the text's at least
         s += np.where(self.future, np.float32(-1e9), p["d"][self.away])
         if len(short := np.flatnonzero(~valid.all(axis=1))):
             s[short] += np.where(valid[short], np.float32(0), np.float32(-1e9))[:, None, :]
         w = _softmax(s, tame)
-        o = w @ v
-        h = xs.reshape(-1, WIDTH) @ p["a"]
-        h += o.reshape(-1, WIDTH) @ p["o"]
+        xo = np.empty((*xs.shape[:2], 2 * WIDTH), np.float32)
+        xo[:, :, :WIDTH] = xs
+        np.matmul(w, x, out=xo[:, :, WIDTH:])
+        ao = np.vstack([p["a"], p["v"] @ p["o"]])
+        h = xo.reshape(-1, 2 * WIDTH) @ ao
         h += p["b"]
-        h /= 1 + np.abs(h)
+        slope = np.abs(h)
+        slope += 1
+        np.reciprocal(slope, out=slope)
+        h *= slope
         logits = h @ p["u"]
         logits += p["c"]
-        return logits, (x, xs, q, k, v, w, o, h)
+        return logits, (x, xs, qk, q, w, xo, ao, h, slope)
 
     def step(self, rows, valid, goal, begins, rate, state, t) -> tuple[np.ndarray, np.ndarray]:
         """One Adam step on the class of each scored place; goal is -1 outside the text.
@@ -324,53 +398,68 @@ class Attention:
         What it gave before, for the places inside: the probability of the goal, and that of an id that begins a word.
         """
         p = self.p
-        logits, (x, xs, q, k, v, w, o, h) = self.forward(rows, valid)
-        g = _softmax(logits, float((np.abs(p["u"]).sum(axis=0) + np.abs(p["c"])).max()) < 80)
+        if not state:  # one array for all of a kind, of which each name has a view
+            self.flat = [np.zeros(sum(y.size for y in p.values()), np.float32) for _ in range(3)]
+            views, a = [{} for _ in self.flat], 0
+            for name, y in p.items():
+                for view, of in zip(views, self.flat):
+                    view[name] = of[a : a + y.size].reshape(y.shape)
+                a += y.size
+            self.grad = views[0]
+            state |= {name: (views[1][name], views[2][name]) for name in p}
+        logits, (x, xs, qk, q, w, xo, ao, h, slope) = self.forward(rows, valid)
+        g, d = logits, self.grad
+        if not float((np.abs(p["u"]).sum(axis=0) + np.abs(p["c"])).max()) < 80:
+            g -= g.max(axis=1, keepdims=True)
+        np.exp(g, out=g)
+        total = g @ np.stack([np.ones(len(begins), np.float32), begins.astype(np.float32)], axis=1)
         goal = goal.reshape(-1)
         inside = np.flatnonzero(goal >= 0)
         at = inside * g.shape[1] + goal[inside]
-        given = g.ravel()[at], (g @ begins)[inside]
-        g.ravel()[at] -= 1
-        if len(inside) < len(g):
-            g[np.flatnonzero(goal < 0)] = 0
-        g *= np.float32(1 / max(1, len(inside)))
-        flat = lambda y: y.reshape(-1, y.shape[-1])
+        sums = total[inside]
+        given = g.ravel()[at] / sums[:, 0], sums[:, 1] / sums[:, 0]
+        each = np.float32(1 / max(1, len(inside)))
+        g *= ((goal >= 0) * each / total[:, 0])[:, None].astype(np.float32)
+        g.ravel()[at] -= each
         in_windows = lambda y: y.reshape(*xs.shape[:2], -1)
         ones = np.ones(len(g), np.float32)
-        d = {"u": _cross(in_windows(h), in_windows(g)), "c": ones @ g}
+        d["u"][:], d["c"][:] = _cross(in_windows(h), in_windows(g)), ones @ g
         dh = g @ p["u"].T
-        dh *= np.square(1 - np.abs(h))
-        d |= {"a": _cross(xs, in_windows(dh)), "o": _cross(o, in_windows(dh)), "b": ones @ dh}
-        do = (dh @ p["o"].T).reshape(o.shape)
-        ds = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        dv = w.transpose(0, 2, 1) @ do
+        slope *= slope
+        dh *= slope
+        dao = _cross(xo, in_windows(dh))
+        d["a"][:], d["b"][:] = dao[:WIDTH], ones @ dh
+        d["v"][:], d["o"][:] = dao[WIDTH:] @ p["o"].T, p["v"].T @ dao[WIDTH:]
+        dxo = in_windows(dh @ ao.T)
+        o, do = xo[:, :, WIDTH:], dxo[:, :, WIDTH:]
+        ds = do @ x.transpose(0, 2, 1)
+        dx = w.transpose(0, 2, 1) @ do
         # The sum of weights times their gradients is that of the output times its own.
         ds -= np.einsum("ijk,ijk->ij", o, do)[:, :, None]
         ds *= w
-        d["d"] = np.bincount(self.away.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(np.float32)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dq *= np.float32(WIDTH**-0.5)
-        d |= {"q": _cross(xs, dq), "k": _cross(x, dk), "v": _cross(x, dv)}
-        dx = (flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(x.shape)
-        dx[:, -STRIDE:] += (dh @ p["a"].T + flat(dq) @ p["q"].T).reshape(xs.shape)
+        d["d"][:] = np.bincount(self.away.ravel(), ds.sum(axis=0).ravel(), WINDOW)
+        dx += ds.transpose(0, 2, 1) @ q
+        dq = ds @ x
+        dqk = _cross(xs, dq) * np.float32(WIDTH**-0.5)
+        d["q"][:], d["k"][:] = dqk @ p["k"], dqk.T @ p["q"]
+        dx[:, -STRIDE:] += (dq.reshape(-1, WIDTH) @ qk.T).reshape(xs.shape)
+        dx[:, -STRIDE:] += dxo[:, :, :WIDTH]
         place = np.take(self.place, rows.ravel(), axis=0, mode="clip")
-        d["e"] = np.bincount(place.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape).astype(np.float32)
-        for name, grad in d.items():
-            if name not in state:
-                state[name] = np.zeros_like(grad), np.zeros_like(grad)
-            m, s2 = state[name]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * grad
-            s2 *= np.float32(0.98)
-            grad *= grad
-            grad *= np.float32(0.02)
-            s2 += grad
-            by = np.multiply(s2, np.float32(1 / (1 - 0.98**t)), out=grad)
-            np.sqrt(by, out=by)
-            by += np.float32(1e-7)
-            np.divide(m, by, out=by)
-            by *= np.float32(rate / (1 - 0.9**t))
-            p[name] -= by
+        d["e"][:] = np.bincount(place.ravel(), dx.ravel(), p["e"].size).reshape(p["e"].shape)
+        grad, m, s2 = self.flat
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * grad
+        s2 *= np.float32(0.98)
+        grad *= grad
+        grad *= np.float32(0.02)
+        s2 += grad
+        by = np.multiply(s2, np.float32(1 / (1 - 0.98**t)), out=grad)
+        np.sqrt(by, out=by)
+        by += np.float32(1e-7)
+        np.divide(m, by, out=by)
+        by *= np.float32(rate / (1 - 0.9**t))
+        for name, change in d.items():
+            p[name] -= change
         return given
 
 
@@ -379,36 +468,55 @@ class Tables:
 
     def __init__(self, net: Attention, begins: np.ndarray):
         p = net.p
-        self.q, self.k, self.vo, self.xa = p["e"] @ p["q"] * np.float32(WIDTH**-0.5), p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"], p["e"] @ p["a"] + p["b"]
-        self.u, self.c = p["u"], p["c"]
-        self.vo = np.column_stack([self.vo, np.ones(len(self.vo), np.float32)])  # the last sums the weights
+        self.x, self.q = p["e"], p["e"] @ (p["q"] @ p["k"].T * np.float32(WIDTH**-0.5))
+        self.ao, self.b, self.u, self.c = np.vstack([p["a"], p["v"] @ p["o"]]), p["b"], p["u"], p["c"]
         self.bias = np.where(net.future, np.float32(-1e9), p["d"][net.away])
         self.sums = np.stack([np.ones(len(begins)), begins], axis=1).astype(np.float32)
         # Bounds below which exponents need not be made smaller first.
-        self.tame = _length(self.q) * _length(self.k) + float(np.abs(p["d"]).max()) < 80, float((np.abs(self.u).sum(axis=0) + np.abs(self.c)).max()) < 80
+        self.tame = _length(self.q) * _length(self.x) + float(np.abs(p["d"]).max()) < 80, float((np.abs(self.u).sum(axis=0) + np.abs(self.c)).max()) < 80
 
     def __call__(self, rows: np.ndarray, valid: np.ndarray, goals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the last STRIDE places of each window the probability of the goal's class, and that of an id that begins a word."""
         own = rows[:, -STRIDE:]
         take = lambda x, at: np.take(x, at, axis=0, mode="clip")
-        s = take(self.q, own) @ np.ascontiguousarray(take(self.k, rows).transpose(0, 2, 1))
+        x = take(self.x, rows)
+        s = take(self.q, own) @ x.transpose(0, 2, 1)
         s += self.bias
         if len(short := np.flatnonzero(~valid.all(axis=1))):
             s[short] += np.where(valid[short], np.float32(0), np.float32(-1e9))[:, None, :]  # every place sees one of the text's at least
         if not self.tame[0]:
             s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        h = s @ take(self.vo, rows)
-        h = h[:, :, :-1] / h[:, :, -1:]
-        h += take(self.xa, own)
-        h /= 1 + np.abs(h)
-        e = h.reshape(-1, HIDDEN) @ self.u
+        xo = np.empty((*own.shape, 2 * WIDTH), np.float32)
+        xo[:, :, :WIDTH] = x[:, -STRIDE:]
+        np.divide(s @ x, s @ np.ones((WINDOW, 1), np.float32), out=xo[:, :, WIDTH:])
+        h = xo.reshape(-1, 2 * WIDTH) @ self.ao
+        h += self.b
+        size = np.abs(h)
+        size += 1
+        h /= size
+        e = h @ self.u
         e += self.c
         if not self.tame[1]:
             e -= e.max(axis=1, keepdims=True)
         np.exp(e, out=e)
         total = e @ self.sums
-        return e[np.arange(len(e)), goals.ravel()] / total[:, 0], total[:, 1] / total[:, 0]
+        return e.ravel()[np.arange(0, e.size, e.shape[1]) + goals.ravel()] / total[:, 0], total[:, 1] / total[:, 0]
+
+
+def paired(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A key of 32 bits for two neighbours, in the order of both."""
+    return (before * IDS + after).astype(np.uint32)
+
+
+def looked_up(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key of 32 bits, at most 2^32 of them, stands in the sorted `known`, and whether it does. Sorted keys are found many times faster."""
+    by = keys.astype(np.uint64) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)
+    by.sort()
+    at = np.empty(len(keys), np.int64)
+    at[by.astype(np.uint32)] = np.searchsorted(known, (by >> np.uint64(32)).astype(np.uint32))
+    at = np.minimum(at, len(known) - 1)
+    return at, known[at] == keys
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,6 +542,7 @@ class Model:
     single: np.ndarray  # probability of an id
     held_back: np.ndarray  # of each id, the mass its neighbours leave to single ids
     pair_part: np.ndarray
+    pairs: np.ndarray  # the neighbours' keys in 32 bits
     begin_near: np.ndarray  # of each id, the probability that an id that begins a word comes next
     begin_class: np.ndarray  # of each class, the part of ids that begin words
     net: Attention
@@ -445,9 +554,7 @@ class Model:
         out = self.single[ids] * self.held_back[before]
         c = self.counts
         if len(c.pair_keys):
-            key = before << 32 | ids
-            at = np.minimum(np.searchsorted(c.pair_keys, key), len(c.pair_keys) - 1)
-            found = c.pair_keys[at] == key
+            at, found = looked_up(self.pairs, paired(before, ids))
             if not own:
                 return out + np.where(found, self.pair_part[at], 0)
             n, total = np.where(found, c.pair_counts[at], 0), np.maximum(c.ids[before], 1)
@@ -475,7 +582,7 @@ class Model:
         before[np.cumsum(lengths) - lengths] = END
         return self.attention(before, flat, lengths)[0], self.near(before, flat)
 
-    def laid(self, code: Coder, t: Texts, near: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def laid(self, code: Words, t: Texts, near: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The texts' ids, those before them, the numbers of ids, where words begin, and the neighbours' probabilities. near: of all that the coder holds."""
         at, first = code.places(t)
         ids = code.flat[at]
@@ -493,18 +600,13 @@ class Model:
         ended[np.cumsum(t.words) - 1] = 0  # nothing comes after a text's end
         return np.maximum(np.add.reduceat(p, first) - begin + ended, -280)
 
-    def kept(self, code: Coder, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """What depends on a word alone, for all that the coder holds: the neighbours' part of its inner ids, and its count among the frequent words, -1 for others."""
-        counts, *now, held = getattr(code, "kept", (None, None))
-        near, n = held if counts is self.counts and now == [code.turn, own] else (np.empty(0), np.empty(0))
-        if len(n) < len(code.size):
-            new = np.arange(len(near), len(code.flat))
-            near = np.append(near, self.near(code.flat[np.maximum(new - 1, 0)], code.flat[new], own))
-            h, head = code.hash[len(n) :], self.counts.head
-            at = np.minimum(np.searchsorted(head, h), max(0, len(head) - 1))
-            n = np.append(n, np.where(head[at] == h, self.counts.head_counts[at], -1.0) if len(head) else np.full(len(h), -1.0))
-            n[0] = self.counts.documents
-            code.kept = (self.counts, code.turn, own, (near, n))
+    def kept(self, code: Words, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """What depends on a word alone, for all words: the neighbours' part of its inner ids, and its count among the frequent words, -1 for others."""
+        near = self.near(np.append(END, code.flat[:-1]), code.flat, own)
+        head = self.counts.head
+        at = np.minimum(np.searchsorted(head, code.hash), max(0, len(head) - 1))
+        n = np.where(head[at] == code.hash, self.counts.head_counts[at], -1.0) if len(head) else np.full(len(code.hash), -1.0)
+        n[0] = self.counts.documents
         return near, n
 
 
@@ -536,7 +638,7 @@ def untrained(counts: Counts, vocabulary: str) -> Model:
     begin_near = np.bincount(before, part * begins[after], IDS) + held_back * (single * begins).sum()
     net = Attention(TOP + CLASSES + RARE, CLASSES + RARE)
     net.p["c"][:] = np.log(of_class + 1e-9)
-    return Model(vocabulary, counts, cls, row, single / of_class[cls], single, held_back, part, begin_near, np.bincount(cls, single * begins, CLASSES + RARE) / np.maximum(of_class, 1e-300), net)
+    return Model(vocabulary, counts, cls, row, single / of_class[cls], single, held_back, part, paired(before, after), begin_near, np.bincount(cls, single * begins, CLASSES + RARE) / np.maximum(of_class, 1e-300), net)
 
 
 class Learner:
@@ -549,7 +651,7 @@ class Learner:
         self.begins = base.begin_class.astype(np.float32)
         self.rng, self.mixture, self.whole = np.random.default_rng(4), np.zeros(BINS), np.zeros(BINS)
 
-    def read(self, code: Coder, t: Texts) -> None:
+    def read(self, code: Words, t: Texts) -> None:
         m = self.model
         near, n = m.kept(code, 1)
         ids, before, lengths, first, close = m.laid(code, t, near, 1)
@@ -579,23 +681,21 @@ class Learner:
 
 
 def fit(counts: Counts, train: DataFrame | None, vocabulary: str) -> Model:
-    """The model, its layer and mixtures fitted on all texts of train (doc_id, text)."""
+    """The model, its layer and mixtures fitted on all texts of train, (doc_id, text) or blocks."""
     model = untrained(counts, vocabulary)
     if not train or not counts.documents:
         return model
     sent = train.sparkSession.sparkContext.broadcast(model)
     weights, mixture, whole = model.net.p, np.zeros(BINS), np.zeros(BINS)
-    part_of = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    blocks = in_blocks(train, vocabulary)
     names, schema = ["block", "task", "part"], "block int, task int, part binary"
-    for (low, rate), (high, _) in zip(ROUNDS, ROUNDS[1:]):
+    for number, (_, rate) in enumerate(ROUNDS[:-1]):
         common = train.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], common=common, rate=rate) -> Iterator[pa.RecordBatch]:
-            code, learner = coder(vocabulary), Learner(sent.value, common.value, rate)
-            for batch in batches:
-                texts, lengths = plain(batch.column(0))
-                for a, b in runs(lengths, SLICE):
-                    learner.read(code, code.read(texts.slice(a, b - a)))
+            learner = Learner(sent.value, common.value, rate)
+            for _, t, words in blocks_of(batches):
+                learner.read(words, t)
             if learner.windows:
                 sums, task = learner.sums(), TaskContext.get().partitionId()
                 parts = [sums[a : a + PART].tobytes() for a in range(0, len(sums), PART)]
@@ -608,7 +708,7 @@ def fit(counts: Counts, train: DataFrame | None, vocabulary: str) -> Model:
                     totals[k] = totals.get(k, 0) + np.frombuffer(part.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.nulls(len(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names)
 
-        parts = train.where((part_of >= low) & (part_of < high)).select("text").mapInArrow(trimmed(run), schema)
+        parts = blocks.where(F.col("round") == number).mapInArrow(trimmed(run), schema)
         parts = parts.repartition("block").sortWithinPartitions("block", "task").mapInArrow(trimmed(added), schema)
         found = sorted((r.block, bytes(r.part)) for r in parts.collect())
         common.unpersist()
@@ -631,35 +731,34 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    train = docs.where(~F.coalesce(crc_of_id() % 7 == 2, F.lit(False)))
+    held_out = F.coalesce(crc_of_id() % 7 == 2, F.lit(False))
+    blocks = scratch.put(coded(docs, vocabulary, held_out), "blocks")
+    train = blocks.where("round >= 0")
     gathered = scratch.put(gather(train, vocabulary), "counts")
     counts = counts_of(gathered)
     model = spark.sparkContext.broadcast(fit(counts, train, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, code = model.value, coder(vocabulary)
+        m = model.value
         tokens = max(1, m.counts.words)
-        for batch in batches:
-            texts, lengths = plain(batch.column(1))
-            for a, b in runs(lengths, SLICE):
-                t = code.read(texts.slice(a, b - a))
-                near, n = m.kept(code)
-                known, n = n[t.number] >= 0, np.maximum(n[t.number], 0)
-                ids, before, sizes, begun, close = m.laid(code, t, near)
-                made = (1 - m.whole) * 10.0 ** m.made(t, before, begun, close, *m.attention(before, ids, sizes))
-                first = np.cumsum(t.words) - t.words
-                per_text = lambda x, first=first: np.add.reduceat(x, first)
-                word = t.number > 0
-                rest = ~known
-                ends = np.append(0, np.cumsum(per_text(rest.astype(np.int64)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(t.words.astype(np.int64)), pa.array(per_text((known & word).astype(np.int64))),
-                     pa.array(per_text(np.where(known & word, np.log10(n + 1.0), 0.0))), pa.array(per_text(np.log10(m.whole * n / tokens + made))),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(code.hash[t.number[rest]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(made[rest]))],
-                    [x.split()[0] for x in SCORED.split(", ")],
-                )
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+        for doc_ids, t, words in blocks_of(batches):
+            near, n = m.kept(words)
+            known, n = n[t.number] >= 0, np.maximum(n[t.number], 0)
+            ids, before, sizes, begun, close = m.laid(words, t, near)
+            made = (1 - m.whole) * 10.0 ** m.made(t, before, begun, close, *m.attention(before, ids, sizes))
+            first = np.cumsum(t.words) - t.words
+            per_text = lambda x, first=first: np.add.reduceat(x, first)
+            word = t.number > 0
+            rest = ~known
+            ends = np.append(0, np.cumsum(per_text(rest.astype(np.int64)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(t.words), pa.array(per_text((known & word).astype(np.int64))),
+                 pa.array(per_text(np.where(known & word, np.log10(n + 1.0), 0.0))), pa.array(per_text(np.log10(m.whole * n / tokens + made))),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(words.hash[t.number[rest]])), pa.ListArray.from_arrays(pa.array(ends), pa.array(made[rest]))],
+                [x.split()[0] for x in SCORED.split(", ")],
+            )
+
+    scored = blocks.mapInArrow(trimmed(run), SCORED)
     scored = scratch.put(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     fitted = model.value.whole
     known = gathered.where("kind = 0").select(F.col("key").alias("word"), "n")
@@ -667,12 +766,12 @@ def score(docs: DataFrame, vocabulary: str) -> DataFrame:
     share = F.lit(fitted / max(1, counts.words)) * F.col("n")
     rest = rest.groupBy("row").agg(F.count("*").alias("n_rest"), F.sum(F.log10(F.col("n") + 1.0)).alias("rest_sum"), F.sum(F.log10(1 + share / F.col("made"))).alias("more"))
     rest = scratch.put(rest, "rest")
-    scratch.drop("counts")
+    scratch.drop("counts", "blocks")
     per_token = math.log10(counts.words + counts.distinct + 1)
     end_known, end_log = (1, math.log10(counts.documents + 1)) if counts.documents else (0, 0.0)
     out = scored.drop("rest", "made").join(rest, "row", "left")
     return out.select(
-        "doc_id", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens",
+        "doc_id", held_out.alias("held_out"), "n_tokens",
         (F.col("n_head") + F.coalesce("n_rest", F.lit(0)) + end_known).cast("long").alias("n_known"),
         F.lit(counts.words).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("rest_sum", F.lit(0.0)) + end_log - F.col("n_tokens") * per_token).alias("base_score"),

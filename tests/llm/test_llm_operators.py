@@ -186,6 +186,48 @@ def test_lm_learns_from_all_documents(spark):
     assert lm.fit(counts, docs.limit(0), VOCAB).mixture == 0.5
 
 
+def test_lm_texts_are_encoded_once(spark):
+    """The blocks hold every row once, with the ids the library gives, and are all that counting, learning and scoring read."""
+    v, r = vocabulary(), random.Random(5)
+    rows = [(i, " ".join(r.choice(v) for _ in range(i % 9))) for i in range(200)]
+    rows += [(200, None), (201, ""), (202, "Zebra don't\t 12 x.\n"), (202, "zebra"), (203, " ".join(r.choice(v) for _ in range(300_000))), (204, "\u00a0 a\u2003b c")]
+    blocks = lm.coded(table(spark, rows).repartition(3), VOCAB, F.col("doc_id") % 5 == 0).cache()
+    assert blocks.count() > 5
+    whole = lm.coder(VOCAB).tokenizer
+    wanted = sorted((i, [*(k for w in words(t, True) for k in whole.encode(" " + w.decode(), add_special_tokens=False).ids), lm.END]) for i, t in rows if i != 203)
+    got, held = [], set()
+    for batch in blocks.toArrow().to_batches():
+        held |= {(k, i % 5 == 0) for k, ids in zip(batch.column("round").to_pylist(), batch.column("doc_id").to_pylist()) for i in ids}
+        for ids, t, own in lm.blocks_of([batch]):
+            at, lengths = own.places(t)[0], np.add.reduceat(own.size[t.number], np.cumsum(t.words) - t.words)
+            got += zip(ids.to_pylist(), (x.tolist() for x in np.split(own.flat[at], np.cumsum(lengths)[:-1])))
+    assert sorted(x for x in got if x[0] != 203) == wanted and len(got) == len(rows)
+    assert all((k < 0) == out for k, out in held)
+    counted = lambda x: sorted(map(tuple, lm.gather(x, VOCAB).collect()))
+    assert counted(blocks) == counted(table(spark, rows))
+
+
+def test_lm_looked_up():
+    r = np.random.default_rng(6)
+    known = np.unique(lm.paired(r.integers(0, lm.IDS, 3000), r.integers(0, lm.IDS, 3000)))
+    keys = np.append(r.permutation(known)[:1000], lm.paired(r.integers(0, lm.IDS, 1000), np.full(1000, lm.IDS - 1)))
+    at, found = lm.looked_up(known, keys)
+    assert (found == np.isin(keys, known)).all() and (known[at[found]] == keys[found]).all()
+
+
+def test_lm_scores_as_it_trains():
+    """The tables for scoring give what the layer gives, with windows of which a part is outside."""
+    r = np.random.default_rng(9)
+    net, begins = lm.Attention(30, 9), r.random(9)
+    net.p["d"] += r.standard_normal(lm.WINDOW).astype(np.float32)
+    rows, valid, goals = r.integers(0, 30, (6, lm.WINDOW)), np.ones((6, lm.WINDOW), bool), r.integers(0, 9, (6, lm.STRIDE))
+    valid[0, : lm.WINDOW - lm.STRIDE] = False
+    e = np.exp(net.forward(rows, valid)[0].astype(float))
+    e /= e.sum(axis=1, keepdims=True)
+    p, begin = lm.Tables(net, begins)(rows, valid, goals)
+    assert np.allclose(p, e[np.arange(len(e)), goals.ravel()], atol=1e-5) and np.allclose(begin, e @ begins, atol=1e-5)
+
+
 def test_lm_weight_of_histogram():
     r = np.random.default_rng(2)
     first = r.random(20_000) < 0.3
