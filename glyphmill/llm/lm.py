@@ -19,6 +19,8 @@ stepped on it, and the counts without the token itself, give the mixtures, by on
 training tokens each. Windows overlap and each token is scored once, with at least
 WINDOW - STRIDE tokens before it where the text has them.
 
+Texts are cut into words and encoded once, into blocks that hold the ids of their own words; counting, rounds and scoring read these.
+
 The base score is that of single words with one added to each count. Frequent words, a bounded number, are
 looked up where the text is read; the others are joined with the counts. Null texts count as empty and
 hold just the end. Without training documents all counts are 0 and ids are equally likely. Repeated rows and ids are
